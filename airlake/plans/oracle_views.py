@@ -167,3 +167,15 @@ def with_views(sql: str) -> str:
     if body[:4].upper() == "WITH" and body[4:5].isspace():
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"
+
+
+def ctes(*parts: tuple[str, str], select: str) -> str:
+    """``WITH a AS (..), b AS (..) <select>`` from (name, body) pairs;
+    repeated names (shared fragments) are emitted once."""
+    seen, out = set(), []
+    for name, body in parts:
+        if name in seen:
+            continue
+        seen.add(name)
+        out.append(f"{name} AS ({body})")
+    return "WITH " + ",\n".join(out) + "\n" + select
