@@ -29,13 +29,13 @@ def paeri_sql(aqi: str = "aqi", hours: str = "exposure_hours", activity: str = "
             f"{dur} AS f_dur, {sens} AS f_sens")
 
 
-def scored_sql(src: str) -> str:
+def scored_sql(src: str, aqi: str = "aqi", hours: str = "exposure_hours") -> str:
     return f"""SELECT *, round_even(least(100.0::DOUBLE, f_base * f_age * f_cond * f_act * f_dur * f_sens * 100), 1)
          AS risk_score,
        round_even(f_base, 3) AS aqi_contribution, round_even(f_age, 3) AS age_contribution,
        round_even(f_cond, 3) AS condition_contribution, round_even(f_act, 3) AS activity_contribution,
        round_even(f_dur, 3) AS duration_contribution, round_even(f_sens, 3) AS sensitivity_contribution
-FROM (SELECT *, {paeri_sql()} FROM {src}) z"""
+FROM (SELECT *, {paeri_sql(aqi, hours)} FROM {src}) z"""
 
 
 CITY_AQI = ("city_aqi", """SELECT city_id AS home_city_id, arg_max(india_aqi, datetime) AS aqi

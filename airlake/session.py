@@ -51,3 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and return a
+    DataFrame that reads it back (for iterative plans). Reliable
+    checkpoints survive executor loss, unlike local ones."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
