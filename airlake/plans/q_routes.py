@@ -53,7 +53,7 @@ EXPO = ("expo", """SELECT request_id, route_idx,
    list_reduce(list(aqi ORDER BY pos), lambda a, b: a + b) / count(*) AS avg_aqi_raw FROM near GROUP BY 1, 2""")
 SCORED = ("scored", """SELECT r.*, e.avg_aqi_raw, round_even(r.distance_m / 1000, 2) AS distance_km,
    round_even(r.duration_s / 60, 1) AS time_min, round_even(e.avg_aqi_raw, 1) AS avg_aqi
-FROM route_candidates r JOIN expo e USING (request_id, route_idx)""")
+FROM route_ends r JOIN expo e USING (request_id, route_idx)""")
 SCORING = [LATEST, CAM, WPN, SAMP, NEAR, EXPO, SCORED]
 CLASSIFY = SCORING + [
     ("st", """SELECT request_id, min(duration_s) AS tmin, max(duration_s) AS tmax,
