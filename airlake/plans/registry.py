@@ -35,4 +35,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every query module so their registrations run."""
-    from . import q_alerts, q_features, q_merge, q_risk, q_routes, q_serving, q_trends  # noqa: F401
+    from . import q_alerts, q_features, q_merge, q_risk, q_routes, q_serving, q_streaming, q_trends  # noqa: F401
