@@ -123,3 +123,24 @@ def festival_sql(ts: str, dates=K.FESTIVAL_DATES) -> str:
 
 def festival_proxy(month) -> Column:
     return _col(month).isin(*K.FESTIVAL_PROXY_MONTHS)
+
+
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def hours_between(start, end) -> Column:
+    """Hours from ``start`` to ``end`` on zone-less timestamps (no session
+    zone, so no daylight-saving shifts)."""
+    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / 3.6e9
+
+
+def ntz_to_instant(c) -> Column:
+    """The instant whose UTC wall time is the zone-less value (event-time
+    columns for watermarks), independent of the session zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), _col(c)))
+
+
+def instant_to_ntz(c) -> Column:
+    """Inverse of ``ntz_to_instant``."""
+    secs = (F.unix_micros(_col(c)) / 1e6).cast("decimal(18,6)")
+    return F.lit(_EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)

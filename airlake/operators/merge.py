@@ -108,7 +108,7 @@ def plan_gaps(facts: DataFrame, stations: DataFrame, as_of: Column,
              F.coalesce(C.hour_floor(F.col("newest") + F.make_dt_interval(F.lit(0), F.lit(1))),
                         F.lit(DEFAULT_START).cast("timestamp_ntz")))
     end = C.hour_floor(as_of)
-    gap_h = (F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 3600.0
+    gap_h = C.hours_between(start, end)
     return s.select("station_id", "newest", start.alias("fetch_from"), end.alias("fetch_to"),
                     (start < end).alias("needs_fetch"), gap_h.alias("gap_hours"),
                     F.greatest(F.lit(2), F.least(F.lit(92), F.ceil(gap_h / 24) + 1)).cast("int").alias("past_days"),
@@ -181,8 +181,7 @@ def dimension_insert_missing(existing: DataFrame, new: DataFrame, key: str) -> D
 def freshness(facts: DataFrame, as_of: Column, stale_hours: int = 2) -> DataFrame:
     """MRG-16: rows, newest time, whole hours since it, stale flag."""
     a = facts.agg(F.count("*").alias("rows"), F.max("datetime").alias("newest"))
-    gap = F.floor((F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("newest").cast("timestamp")))
-                  / 3600).cast("long")
+    gap = F.floor(C.hours_between(F.col("newest"), as_of)).cast("long")
     return a.select("rows", "newest", gap.alias("gap_hours"),
                     (F.col("newest").isNull() | (gap > stale_hours)).alias("stale"))
 

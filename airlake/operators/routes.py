@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import geo as G
 from ..functions.aqi import india_category
+from ..functions.calendar import hours_between
 from ..session import cut_lineage
 from . import risk as RISK
 
@@ -146,25 +147,52 @@ def sample_waypoints(routes: DataFrame, keys=("request_id", "route_idx"),
             .select(*keys, "pos", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon")))
 
 
-def route_exposure(routes: DataFrame, city_aqi: DataFrame, keys=("request_id", "route_idx"),
-                   geometry: str = "geometry") -> DataFrame:
-    """GEO-7: mean AQI of the nearest city over the sampled points; 0 when
-    there are no points or no cities. Adds ``avg_aqi_raw``.
-
-    Only the sampled positions are exploded (``sequence`` with the
-    stride), each point finds its nearest city, and a partial
-    ``groupBy`` averages per route; the points of one route come from one
-    input row, so the sum is taken in point order."""
+def sampled_points(routes: DataFrame, keys=("request_id", "route_idx"), geometry: str = "geometry",
+                   carry: bool = True) -> DataFrame:
+    """GEO-6 positions 0, stride, 2*stride, .. of each route's geometry as
+    rows (pos, lat, lon), carrying the route's other columns; a route
+    without points gives one row with NULL pos."""
     g = F.col(geometry)
+    keys = list(keys)
+    others = [c for c in routes.columns if c not in keys and c != geometry] if carry else []
     stride = sample_stride(F.size(g))
-    pts = routes.select(*keys, F.explode(F.sequence(F.lit(0), F.size(g) - 1, stride)).alias("pos"),
-                        g.alias("_g"))
-    pts = pts.select(*keys, "pos", F.element_at("_g", F.col("pos") + 1).alias("_p")).select(
-        *keys, "pos", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"))
-    near = nearest(pts, [*keys, "pos"], city_aqi, "city_id", "latitude", "longitude", "aqi")
-    avg = near.groupBy(*keys).agg((F.sum("nearest_value") / F.count("*")).alias("avg_aqi_raw"))
-    return routes.join(avg, list(keys), "left").withColumn(
-        "avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
+    positions = F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1, stride)).otherwise(
+        F.array().cast("array<int>"))
+    pts = routes.select(*keys, *others, F.explode_outer(positions).alias("pos"), g.alias("_g"))
+    p = F.element_at("_g", F.col("pos") + 1)
+    return pts.select(*keys, *others, "pos", p["lat"].alias("lat"), p["lon"].alias("lon"))
+
+
+def exposure_from_points(points: DataFrame, city_aqi: DataFrame, keys=("request_id", "route_idx")) -> DataFrame:
+    """GEO-7 on sampled point rows (keys, pos, lat, lon, other route
+    columns): per route, the mean AQI of the nearest city; 0 without
+    points or cities. The route's other columns are carried with
+    ``first`` (they depend on the key), so no wide row is joined back; a
+    route's points come from one input row, so the sum runs in point
+    order."""
+    keys = list(keys)
+    others = [c for c in points.columns if c not in (*keys, "pos", "lat", "lon")]
+    small = small_candidates(city_aqi, "city_id", "latitude", "longitude", "aqi")
+    if small is not None:
+        val = F.when(F.col("pos").isNotNull(),
+                     G.nearest_unrolled(F.col("lat"), F.col("lon"), small)["value"])
+        agg = points.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others],
+                                        (F.sum(val) / F.count("pos")).alias("avg_aqi_raw"))
+        return agg.withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
+    near = nearest(points.filter(F.col("pos").isNotNull()).select(*keys, "pos", "lat", "lon"),
+                   [*keys, "pos"], city_aqi, "city_id", "latitude", "longitude", "aqi")
+    avg = near.groupBy(*keys).agg(F.avg("nearest_value").alias("avg_aqi_raw"))
+    base = points.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others])
+    return base.join(avg, keys, "left").withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
+
+
+def route_exposure(routes: DataFrame, city_aqi: DataFrame, keys=("request_id", "route_idx"),
+                   geometry: str = "geometry") -> DataFrame:
+    """GEO-7 on routes with a geometry array: only the sampled positions
+    are exploded (``sequence`` with the stride), then
+    ``exposure_from_points``. Adds ``avg_aqi_raw``; the geometry column
+    is not carried into the result."""
+    return exposure_from_points(sampled_points(routes, keys, geometry), city_aqi, keys)
 
 
 def route_measures(scored: DataFrame) -> DataFrame:
@@ -369,8 +397,7 @@ def planned_route_risk(trips: DataFrame, profiles: DataFrame) -> DataFrame:
     is High or Severe. Trips whose end does not follow the start are
     rejected (dropped)."""
     t = trips.filter(F.col("planned_end") > F.col("planned_start"))
-    hours = (F.unix_micros(F.col("planned_end").cast("timestamp"))
-             - F.unix_micros(F.col("planned_start").cast("timestamp"))) / 3.6e9
+    hours = hours_between("planned_start", "planned_end")
     t = t.withColumn("trip_hours", F.greatest(F.lit(0.25), F.least(F.lit(12.0), hours)))
     j = t.join(profiles.drop("exposure_hours"), "user_id")
     s = RISK.paeri(j, "avg_aqi", "trip_hours", "activity_level", with_text=True)

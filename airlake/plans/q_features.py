@@ -21,6 +21,7 @@ from ..operators import forecast as FC
 from ..operators import models as MD
 from ..operators import risk as RK
 from ..sources import fixtures as X
+from ..session import cut_lineage
 from .inputs import facts
 from .oracle_views import ctes
 from .registry import register
@@ -206,9 +207,12 @@ def _features(spark, sf):
 
 
 def _trained(spark, sf, features=FE.FEATURE_COLS):
+    """Split and fitted model; the model (one row per city) is written
+    once as a reliable checkpoint, like a stored model artifact, so the
+    forecast and evaluation steps reuse it instead of refitting."""
     ff = FE.feature_frame(facts(spark, sf)) if features is FE.FEATURE_COLS else FE.feature_frame_v1(facts(spark, sf))
     s = MD.time_split(ff, TEST_DAYS)
-    model = MD.fit_ridge(s.filter(~F.col("is_test")), features, "india_aqi", "city", 1e-3, MIN_ROWS)
+    model = cut_lineage(MD.fit_ridge(s.filter(~F.col("is_test")), features, "india_aqi", "city", 1e-3, MIN_ROWS))
     return s, model
 
 
@@ -224,8 +228,8 @@ def mod_evaluate(spark, sf):
     return MD.evaluate(MD.predict(s.filter("is_test"), model, FE.FEATURE_COLS))
 
 
-def _metrics(spark, sf):
-    s, model = _trained(spark, sf)
+def _metrics(spark, sf, trained=None):
+    s, model = trained or _trained(spark, sf)
     ev = MD.evaluate(MD.predict(s.filter("is_test"), model, FE.FEATURE_COLS))
     train_rows = s.filter(~F.col("is_test")).groupBy("city").agg(F.count("*").alias("train_rows"))
     return (model.select("city").join(ev, "city", "left").join(train_rows, "city", "left")
@@ -290,9 +294,9 @@ def for_statistical_baseline(spark, sf):
     return FC.statistical_baseline(FE.forecast_input(facts(spark, sf)), 3)
 
 
-def _hourly(spark, sf, hours=48):
+def _hourly(spark, sf, hours=48, trained=None):
     f = facts(spark, sf)
-    _, model = _trained(spark, sf)
+    _, model = trained or _trained(spark, sf)
     return FC.hourly_forecast(FE.forecast_input(f), model, hours)
 
 
@@ -303,12 +307,15 @@ def for_hourly_forecast(spark, sf):
 
 @register("for_interval")
 def for_interval(spark, sf):
-    return FC.add_interval(_hourly(spark, sf), _metrics(spark, sf))
+    tr = _trained(spark, sf)
+    return FC.add_interval(_hourly(spark, sf, trained=tr), _metrics(spark, sf, tr))
 
 
 def _daily(spark, sf):
     f = facts(spark, sf)
-    return FC.daily_rollup(FC.add_interval(_hourly(spark, sf), _metrics(spark, sf)), FE.forecast_input(f), 2)
+    tr = _trained(spark, sf)
+    hourly = cut_lineage(FC.add_interval(_hourly(spark, sf, trained=tr), _metrics(spark, sf, tr)))
+    return FC.daily_rollup(hourly, FE.forecast_input(f), 2)
 
 
 @register("for_daily_rollup")
@@ -319,9 +326,10 @@ def for_daily_rollup(spark, sf):
 def _predictions(spark, sf):
     f = facts(spark, sf)
     model, _ = MD.train_daily_trend(FE.daily_target(f, min_days=20), test_days=TEST_DAYS)
-    days = _daily(spark, sf).select("city", F.col("target_date").alias("ds"))
-    trend = MD.predict_daily_trend(model, days)
-    return FC.blend(_daily(spark, sf), trend)
+    daily = _daily(spark, sf)
+    days = daily.select("city", F.col("target_date").alias("ds"))
+    trend = MD.predict_daily_trend(cut_lineage(model), days)
+    return FC.blend(daily, trend)
 
 
 @register("for_blend")
@@ -343,7 +351,7 @@ def _stored(spark, sf):
     old = FC.statistical_baseline(FE.forecast_input(f), 3).join(names, "city").withColumn(
         "created_at", now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30)))
     new = _predictions(spark, sf).join(names, "city")
-    return FC.store_predictions(old, new, now)
+    return cut_lineage(FC.store_predictions(old, new, now))
 
 
 @register("for_store_predictions")

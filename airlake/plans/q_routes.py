@@ -27,8 +27,8 @@ def city_aqi(spark, sf):
 
 
 def scored(spark, sf):
-    g = X.route_geometry(spark, sf)
-    return RT.route_measures(RT.route_exposure(g, city_aqi(spark, sf)))
+    pts = X.route_sample_points(spark, sf)
+    return RT.route_measures(RT.exposure_from_points(pts, city_aqi(spark, sf)))
 
 
 def cards(spark, sf):

@@ -38,18 +38,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    On a cluster ``spark.checkpoint.dir`` (or the context's checkpoint
+    directory) points at shared storage and is used as is. Only when
+    neither is set (local tests) a fresh scratch folder is registered on
+    the context; the static config itself is never modified.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    path = None
+    try:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # noqa: BLE001 - not readable through the SQL conf
+        path = None
+    path = path or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="airlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 

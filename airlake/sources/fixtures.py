@@ -170,6 +170,19 @@ def route_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("geometry", pts)
 
 
+def route_sample_points(spark: SparkSession, sf_dir: str, stride_target: int = 30) -> DataFrame:
+    """The sampled waypoints (positions 0, stride, ..; stride = max(1,
+    points div ``stride_target``)) of every candidate route, computed from
+    the geometry rule with plain column arithmetic instead of building the
+    whole array first. Carries the route's columns."""
+    r = with_endpoints(route_candidates(spark, sf_dir), cities(spark, sf_dir))
+    n = n_points_expr()
+    stride = F.greatest(F.lit(1), ((n + 1) / stride_target).cast("int"))
+    x = r.withColumn("pos", F.explode(F.sequence(F.lit(0), n, stride)))
+    i = F.col("pos")
+    return x.withColumns({"lat": point_lat(i, n), "lon": point_lon(i, n)})
+
+
 def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = route_geometry(spark, sf_dir)
     return g.select("request_id", "route_idx",

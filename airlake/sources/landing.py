@@ -73,7 +73,10 @@ def measurements_from_json(spark: SparkSession, path: str) -> DataFrame:
                   F.posexplode("results").alias("seq", "r"))
     txt = F.coalesce(F.col("r.datetime.local"), F.col("r.datetime.utc"))
     ts = F.try_to_timestamp(txt, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
-    ist = F.to_timestamp_ntz(F.date_format(F.from_utc_timestamp(ts, LOCAL_OFFSET), "yyyy-MM-dd HH:mm:ss"))
+    # instant -> wall time in the session zone -> wall time at +05:30,
+    # so the result does not depend on the session's time zone
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    ist = F.convert_timezone(F.lit(zone), F.lit(LOCAL_OFFSET), ts.cast("timestamp_ntz"))
     x = x.select("station_id", "sensor_id", "parameter", "seq", ist.alias("ts"),
                  F.col("r.value").alias("value")).filter(F.col("ts").isNotNull() & F.col("value").isNotNull())
     return (x.groupBy("station_id", "sensor_id", "parameter", "ts")

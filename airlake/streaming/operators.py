@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as K
+from ..functions.calendar import instant_to_ntz, ntz_to_instant
 from ..functions.stats import exact_avg
 from ..operators.enrich import add_derived
 from ..operators.merge import PARAMETER_COLUMNS, PARAMETERS, insert_new
@@ -48,9 +49,10 @@ def stream_readings(spark: SparkSession, path: str, schema: T.StructType = MEASU
 
 
 def _ts_ltz(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Event-time columns for watermarks must be TIMESTAMP; the facts are
-    zone-less, read in the session zone (UTC)."""
-    return df.withColumn("_event_ts", F.col(ts).cast("timestamp"))
+    """Event-time columns for watermarks must be TIMESTAMP; the zone-less
+    fact time is mapped to the instant with that UTC wall time, so windows
+    do not depend on the session zone."""
+    return df.withColumn("_event_ts", ntz_to_instant(ts))
 
 
 def stream_hourly_mean(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
@@ -58,7 +60,7 @@ def stream_hourly_mean(stream: DataFrame, watermark: str = "2 hours") -> DataFra
     s = _ts_ltz(stream).withWatermark("_event_ts", watermark)
     aggs = [exact_avg("value", 2, F.col("pollutant") == p).alias(PARAMETER_COLUMNS[p]) for p in PARAMETERS]
     g = s.groupBy("station_id", F.window("_event_ts", "1 hour").alias("w")).agg(*aggs)
-    return g.select("station_id", F.col("w.start").cast("timestamp_ntz").alias("datetime"),
+    return g.select("station_id", instant_to_ntz(F.col("w.start")).alias("datetime"),
                     *PARAMETER_COLUMNS.values())
 
 
@@ -127,7 +129,7 @@ def stream_alerts(candidates: DataFrame, hours: int = K.THRESHOLD_COOLDOWN_HOURS
     event_at, aqi_value) -> sent alerts, at most one per key within
     ``hours``; state is one timestamp per (user, type, city), expired by
     event-time timeout."""
-    c = candidates.withColumn("_event_ts", F.col("event_at").cast("timestamp")).withWatermark(
+    c = candidates.withColumn("_event_ts", ntz_to_instant("event_at")).withWatermark(
         "_event_ts", watermark)
     return c.groupBy("user_id", "notification_type", "city_id").applyInPandasWithState(
         _cooldown_fn(hours), ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -139,8 +141,8 @@ def stream_prior_week(stream: DataFrame, value: str = "india_aqi", key: str = "s
     s = _ts_ltz(stream, "datetime").withWatermark("_event_ts", watermark)
     g = s.groupBy(key, F.window("_event_ts", "7 days", "1 day").alias("w")).agg(
         exact_avg(value, 1).alias("avg_aqi_7d"), F.count(value).alias("rows"))
-    return g.select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "avg_aqi_7d", "rows")
+    return g.select(key, instant_to_ntz(F.col("w.start")).alias("window_start"),
+                    instant_to_ntz(F.col("w.end")).alias("window_end"), "avg_aqi_7d", "rows")
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -87,3 +87,14 @@ def test_map_polyline_keeps_last_point(spark):
     m = RT.map_polyline(g).first()["map_waypoints"]
     assert m[0]["lat"] == 0.0 and m[-1]["lat"] == 449.0 and len(m) == 225 + 1
     assert F is not None
+
+
+def test_geometry_path_equals_point_path(spark, sf):
+    from airlake.plans import q_routes as Q
+    from airlake.sources import fixtures as X
+    ca = Q.city_aqi(spark, sf)
+    a = {(r.request_id, r.route_idx): r.avg_aqi_raw
+         for r in RT.route_exposure(X.route_geometry(spark, sf), ca).collect()}
+    b = {(r.request_id, r.route_idx): r.avg_aqi_raw
+         for r in RT.exposure_from_points(X.route_sample_points(spark, sf), ca).collect()}
+    assert a == b and len(a) > 1000
