@@ -128,19 +128,48 @@ def festival_proxy(month) -> Column:
 _EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a zone-less timestamp, from
+    calendar fields only (no session zone, so no daylight-saving gaps)."""
+    t = _col(ts)
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.date_part(F.lit("SECOND"), t)
+    return (days * 86_400_000_000 + F.hour(t).cast("long") * 3_600_000_000
+            + F.minute(t).cast("long") * 60_000_000 + (secs * 1_000_000).cast("long"))
+
+
 def hours_between(start, end) -> Column:
-    """Hours from ``start`` to ``end`` on zone-less timestamps (no session
-    zone, so no daylight-saving shifts)."""
-    return F.timestamp_diff("MICROSECOND", _col(start), _col(end)) / 3.6e9
+    """Hours from ``start`` to ``end`` on zone-less timestamps."""
+    return (epoch_micros(end) - epoch_micros(start)) / 3.6e9
 
 
 def ntz_to_instant(c) -> Column:
     """The instant whose UTC wall time is the zone-less value (event-time
     columns for watermarks), independent of the session zone."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), _col(c)))
+    return F.timestamp_micros(epoch_micros(c))
+
+
+def add_micros(ts, micros) -> Column:
+    """``ts + micros`` on a zone-less timestamp using calendar arithmetic
+    only (timestamp + interval goes through the session zone and can jump
+    daylight-saving gaps)."""
+    total = epoch_micros(ts) + micros
+    day_us = F.lit(86_400_000_000)
+    days = F.floor(total / day_us)
+    rem = total - days * day_us
+    d = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int"))
+    hour = F.floor(rem / 3_600_000_000).cast("int")
+    minute = F.floor((rem % 3_600_000_000) / 60_000_000).cast("int")
+    sec = ((rem % 60_000_000) / 1e6).cast("decimal(8,6)")
+    return F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), hour, minute, sec)
+
+
+def add_seconds(ts, seconds) -> Column:
+    """``ts + seconds`` (fractional seconds kept to microseconds)."""
+    s = _col(seconds) if isinstance(seconds, (str, Column)) else F.lit(seconds)
+    return add_micros(ts, F.round(s.cast("double") * 1e6).cast("long"))
 
 
 def instant_to_ntz(c) -> Column:
-    """Inverse of ``ntz_to_instant``."""
-    secs = (F.unix_micros(_col(c)) / 1e6).cast("decimal(18,6)")
-    return F.lit(_EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+    """Inverse of ``ntz_to_instant``: the UTC wall time of an instant."""
+    return add_micros(F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.unix_micros(_col(c)))
