@@ -226,19 +226,23 @@ def classify_routes(scored: DataFrame) -> DataFrame:
     picks = j.groupBy("request_id").agg(
         F.min_by(idx, F.struct(t, idx)).alias("fastest"),
         F.min_by(idx, F.struct(a, idx)).alias("clean"),
-        F.min_by(idx, F.struct(F.col("_bal"), idx)).alias("balanced"))
-    labelled = picks.select("request_id", F.explode(F.array(*[
+        F.min_by(idx, F.struct(F.col("_bal"), idx)).alias("balanced"),
+        F.min_by(a, F.struct(t, idx)).alias("fastest_aqi"))
+    labelled = picks.select("request_id", "fastest_aqi", F.explode(F.array(*[
         F.struct(F.lit(lb).alias("route_type"), F.col(lb).alias("route_idx")) for lb in LABELS])).alias("x"))
-    labelled = labelled.select("request_id", "x.route_type", "x.route_idx")
+    labelled = labelled.select("request_id", "x.route_type", "x.route_idx", "fastest_aqi")
     return labelled.join(scored, ["request_id", "route_idx"])
 
 
 def exposure_reduction(classified: DataFrame) -> DataFrame:
     """GEO-10: (fastest - this) / fastest * 100, 1 decimal; NULL for the
     fastest route itself and when the fastest AQI is not positive."""
-    fast = classified.filter(F.col("route_type") == "fastest").select(
-        "request_id", F.col("avg_aqi").alias("_fast_aqi"))
-    j = classified.join(fast, "request_id")
+    if "fastest_aqi" in classified.columns:  # carried by classify_routes, no self-join
+        j = classified.withColumn("_fast_aqi", F.col("fastest_aqi")).drop("fastest_aqi")
+    else:
+        fast = classified.filter(F.col("route_type") == "fastest").select(
+            "request_id", F.col("avg_aqi").alias("_fast_aqi"))
+        j = classified.join(fast, "request_id")
     red = F.bround((F.col("_fast_aqi") - F.col("avg_aqi")) / F.col("_fast_aqi") * 100, 1)
     ok = (F.col("route_type") != "fastest") & (F.col("_fast_aqi") > 0)
     return j.withColumn("exposure_reduction_pct", F.when(ok, red)).drop("_fast_aqi")
@@ -322,7 +326,7 @@ def dedupe_routes(routes: DataFrame, cap: int = DEDUPE_POOL_CAP,
     to it. At most ``cap`` rounds, each a partial ``groupBy`` + equi-join,
     so no request's candidate list is ever gathered in one place."""
     cols = routes.columns
-    remaining = routes
+    remaining = cut_lineage(routes)
     kept = None
     for _ in range(cap):
         first = remaining.groupBy(F.col("request_id").alias("_r")).agg(F.min("route_idx").alias("_k"))
@@ -335,7 +339,8 @@ def dedupe_routes(routes: DataFrame, cap: int = DEDUPE_POOL_CAP,
         drop = (F.col("route_idx") == F.col("_k")) | _similar(
             F.col("distance_m"), F.col("duration_s"), F.col("_kd"), F.col("_kt"), tol)
         remaining = cut_lineage(j.filter(F.col("_k").isNull() | ~drop).select(*cols))
-        kept = cut_lineage(kept)
+        if remaining.isEmpty():
+            break
     return kept.select(*cols)
 
 

@@ -14,6 +14,7 @@ from ..functions import risk as R
 from ..operators import routes as RT
 from ..operators import serving as S
 from ..sources import fixtures as X
+from ..session import cut_lineage
 from .inputs import facts
 from .oracle_views import ctes
 from .q_risk import scored_sql
@@ -32,7 +33,10 @@ def scored(spark, sf):
 
 
 def cards(spark, sf):
-    return RT.exposure_reduction(RT.classify_routes(scored(spark, sf)))
+    """Route cards; the scored routes feed three steps (per-request
+    statistics, choices, card rows), so they are written once as a
+    reliable checkpoint instead of being recomputed for each."""
+    return RT.exposure_reduction(RT.classify_routes(cut_lineage(scored(spark, sf))))
 
 
 # -- shared SQL fragments --------------------------------------------------------

@@ -58,3 +58,19 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     rows = E.entry(spark).collect()
     assert len(rows) >= 1 and "rank" in rows[0].asDict()
+
+
+def test_time_helpers_ignore_session_zone(spark):
+    from airlake.functions import calendar as C
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("select timestamp_ntz'1995-04-02 00:00:00' a")  # spring-forward day
+        r = df.select(C.hours_between("a", C.add_seconds("a", 7452.0)).alias("h"),
+                      C.add_seconds("a", 7452.0).alias("b"),
+                      C.instant_to_ntz(C.ntz_to_instant("a")).alias("c")).first()
+        assert r["h"] == pytest.approx(2.07)
+        assert r["b"] == dt.datetime(1995, 4, 2, 2, 4, 12)
+        assert r["c"] == dt.datetime(1995, 4, 2, 0, 0)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
