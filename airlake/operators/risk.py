@@ -19,8 +19,8 @@ PROFILE_FLAGS = ["respiratory_disease", "heart_disease", "diabetes", "kidney_dis
                  "is_pregnant"]
 
 
-def paeri(df: DataFrame, aqi: str = "aqi", hours: str = "exposure_hours",
-          activity: str = "activity_level", with_text: bool = False) -> DataFrame:
+def exposure_risk(df: DataFrame, aqi: str = "aqi", hours: str = "exposure_hours",
+                  activity: str = "activity_level", with_text: bool = False) -> DataFrame:
     """RSK-7: risk score = min(100, product of factors * 100), 1 decimal;
     factors rounded to 3 decimals; category; optionally advice and text."""
     base = R.base_score(aqi)
@@ -57,7 +57,7 @@ def score_users(profiles: DataFrame, city_aqi: DataFrame, with_text: bool = Fals
     """RSK-11: each profile scored with its home city's newest non-null
     AQI (``city_aqi``: city_id, aqi). Users whose city has no AQI drop out."""
     j = profiles.join(city_aqi.withColumnRenamed("city_id", "home_city_id"), "home_city_id")
-    return paeri(j, "aqi", "exposure_hours", "activity_level", with_text)
+    return exposure_risk(j, "aqi", "exposure_hours", "activity_level", with_text)
 
 
 def city_snapshot(cities: DataFrame, city_aqi: DataFrame, age: int = 30, exposure_hours: float = 2.0,
@@ -73,7 +73,7 @@ def city_snapshot(cities: DataFrame, city_aqi: DataFrame, age: int = 30, exposur
         "diabetes": F.lit(False), "kidney_disease": F.lit(False), "is_smoker": F.lit(False),
         "is_pregnant": F.lit(False), "sensitivity_level": F.lit("moderate"),
         "exposure_hours": F.lit(float(exposure_hours)), "activity_level": F.lit(activity_level)})
-    s = paeri(prof, "aqi")
+    s = exposure_risk(prof, "aqi")
     return s.select(F.col("name").alias("city"), "state", "latitude", "longitude",
                     F.col("aqi").alias("current_aqi"), "risk_score", "risk_category")
 
@@ -82,7 +82,7 @@ def daily_risk_log(profiles: DataFrame, daily_aqi: DataFrame) -> DataFrame:
     """Risk log rows: each user scored once per day of their home city's
     daily AQI (``daily_aqi``: city_id, day, aqi)."""
     j = profiles.join(daily_aqi.withColumnRenamed("city_id", "home_city_id"), "home_city_id")
-    s = paeri(j, "aqi")
+    s = exposure_risk(j, "aqi")
     return s.select("user_id", F.col("home_city_id").alias("city_id"),
                     F.col("day").cast("timestamp_ntz").alias("created_at"),
                     F.col("aqi").alias("aqi_used"), "risk_score", "risk_category", *R.FACTOR_NAMES)

@@ -405,7 +405,7 @@ def planned_route_risk(trips: DataFrame, profiles: DataFrame) -> DataFrame:
     hours = hours_between("planned_start", "planned_end")
     t = t.withColumn("trip_hours", F.greatest(F.lit(0.25), F.least(F.lit(12.0), hours)))
     j = t.join(profiles.drop("exposure_hours"), "user_id")
-    s = RISK.paeri(j, "avg_aqi", "trip_hours", "activity_level", with_text=True)
+    s = RISK.exposure_risk(j, "avg_aqi", "trip_hours", "activity_level", with_text=True)
     warn = F.col("risk_category").isin("High", "Severe")
     window = F.concat(F.date_format("planned_start", "MMM dd, HH:mm"), F.lit(" – "),
                       F.date_format("planned_end", "HH:mm"))

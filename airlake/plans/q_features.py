@@ -377,7 +377,7 @@ def rsk_score_users_on_forecast(spark, sf):
     days = p.groupBy("city_id", "horizon_days").agg(
         F.max_by("predicted_aqi", "created_at").alias("aqi"))
     j = X.profiles(spark, sf).join(days.withColumnRenamed("city_id", "home_city_id"), "home_city_id")
-    s = RK.paeri(j, "aqi")
+    s = RK.exposure_risk(j, "aqi")
     return s.select("user_id", "horizon_days", "aqi", "risk_score", "risk_category")
 
 

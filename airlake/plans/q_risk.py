@@ -16,7 +16,7 @@ from .registry import register
 SCORE_COLS = ["user_id", "home_city_id", "aqi", "risk_score", "risk_category", *R.FACTOR_NAMES]
 
 
-def paeri_sql(aqi: str = "aqi", hours: str = "exposure_hours", activity: str = "activity_level") -> str:
+def exposure_risk_sql(aqi: str = "aqi", hours: str = "exposure_hours", activity: str = "activity_level") -> str:
     """SELECT-list of the RSK-7 factor, score and category columns; needs a
     ``raw`` pass, so it is used as two nested selects."""
     base = R.base_score_sql(aqi)
@@ -35,7 +35,7 @@ def scored_sql(src: str, aqi: str = "aqi", hours: str = "exposure_hours") -> str
        round_even(f_base, 3) AS aqi_contribution, round_even(f_age, 3) AS age_contribution,
        round_even(f_cond, 3) AS condition_contribution, round_even(f_act, 3) AS activity_contribution,
        round_even(f_dur, 3) AS duration_contribution, round_even(f_sens, 3) AS sensitivity_contribution
-FROM (SELECT *, {paeri_sql(aqi, hours)} FROM {src}) z"""
+FROM (SELECT *, {exposure_risk_sql(aqi, hours)} FROM {src}) z"""
 
 
 CITY_AQI = ("city_aqi", """SELECT city_id AS home_city_id, arg_max(india_aqi, datetime) AS aqi

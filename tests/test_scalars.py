@@ -9,7 +9,7 @@ from airlake.functions import aqi as A
 from airlake.functions import calendar as C
 from airlake.functions import constants as K
 from airlake.functions import geo as G
-from airlake.operators.risk import paeri
+from airlake.operators.risk import exposure_risk
 
 
 def one(spark, col, value, dtype="double"):
@@ -71,26 +71,26 @@ def test_time_of_day(spark, h, t):
     assert one(spark, C.time_of_day, h, "int") == t
 
 
-def test_paeri_reference_example(spark):
+def test_exposure_risk_reference_example(spark):
     # AQI 150, age 30, no conditions, 8 h, resting, moderate: 0.5 * 0.6 * 100 = 30.0 (Moderate)
     df = spark.createDataFrame(
         [(150.0, 30, False, False, False, False, False, False, "moderate", 8.0, "resting")],
         "aqi double, age int, respiratory_disease boolean, heart_disease boolean, diabetes boolean, "
         "kidney_disease boolean, is_smoker boolean, is_pregnant boolean, sensitivity_level string, "
         "exposure_hours double, activity_level string")
-    r = paeri(df, with_text=True).first()
+    r = exposure_risk(df, with_text=True).first()
     assert r["risk_score"] == 30.0
     assert r["risk_category"] == "Moderate"
     assert r["explanation"].startswith("Your personalised risk score is 30/100 (Moderate). Current AQI is 150.")
 
 
-def test_paeri_caps_at_100(spark):
+def test_exposure_risk_caps_at_100(spark):
     df = spark.createDataFrame(
         [(480.0, 3, True, True, True, True, True, True, "very_high", 24.0, "intense")],
         "aqi double, age int, respiratory_disease boolean, heart_disease boolean, diabetes boolean, "
         "kidney_disease boolean, is_smoker boolean, is_pregnant boolean, sensitivity_level string, "
         "exposure_hours double, activity_level string")
-    r = paeri(df, with_text=True).first()
+    r = exposure_risk(df, with_text=True).first()
     assert r["risk_score"] == 100.0 and r["risk_category"] == "Severe"
     assert len(r["recommendations"]) == 4 + 6
 
