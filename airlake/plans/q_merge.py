@@ -220,9 +220,10 @@ def mrg_left_merge_weather(spark, sf):
     return M.left_merge_weather(f, w)
 
 
-@register("mrg_reseed")
+@register("mrg_reseed", "SELECT station_id, datetime, pm2_5_ugm3 FROM readings")
 def mrg_reseed(spark, sf):
-    """MRG-20 (rows-only): create, then 'missing' mode appends nothing new."""
+    """MRG-20: seed an empty target with the first 20 days, then the
+    'missing' mode appends only the absent (station, hour) keys."""
     path = landed.scratch(spark, "reseed")
     r = X.readings(spark, sf)
     M.reseed(spark, path, r.filter(F.dayofmonth("datetime") <= 20))

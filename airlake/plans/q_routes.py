@@ -323,7 +323,9 @@ def geo_arrival_time(spark, sf):
     return RT.arrival_time(cards(spark, sf)).select("request_id", "route_type", "arrival_at")
 
 
-@register("geo_waypoints")
+@register("geo_waypoints", """
+SELECT request_id, route_idx, pos, round(lat * 100000.0) / 100000.0 AS lat,
+       round(lon * 100000.0) / 100000.0 AS lon FROM waypoints""")
 def geo_waypoints(spark, sf):
     """GEO-5 (rows-only): geometries encoded to polylines, then decoded back
     into ordered waypoint rows on the executors."""
