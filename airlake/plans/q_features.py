@@ -134,7 +134,17 @@ def fea_feature_set_v1(spark, sf):
         "city", "datetime", "lag_168h", "rolling_7d_mean", "rolling_7d_std")
 
 
-@register("fea_feature_set_explain")
+@register("fea_feature_set_explain", f"""
+WITH l AS (SELECT city, datetime, india_aqi, coalesce(temperature_c, 20.0::DOUBLE) AS temperature_c,
+                  coalesce(wind_speed_kmh, 5.0::DOUBLE) AS wind_speed_kmh
+           FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime DESC) AS rn {NN}) x
+           WHERE rn <= 200),
+ff AS (SELECT city, datetime, hour(datetime) AS hour, {C.weekday_sql('datetime')} AS day_of_week,
+              month(datetime) AS month, CAST({C.weekday_sql('datetime')} >= 5 AS INTEGER) AS is_weekend,
+              {', '.join(f'lag(india_aqi, {n}) OVER ({W_SQL}) AS lag_{n}h' for n in (24, 48, 168))},
+              {_roll_sql(24, 8)} AS rolling_24h_mean, {_roll_sql(168, 24)} AS rolling_7d_mean,
+              {_std_sql(168, 24)} AS rolling_7d_std, temperature_c, wind_speed_kmh FROM l)
+SELECT * FROM ff WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FE.FEATURE_COLS_V1)}""")
 def fea_feature_set_explain(spark, sf):
     return FE.feature_frame_explain(facts(spark, sf)).select(
         "city", "datetime", *FE.FEATURE_COLS_V1)
