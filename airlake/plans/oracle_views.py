@@ -164,6 +164,9 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in order)
     body = sql.lstrip()
+    head = body[:15].upper()
+    if head.startswith("WITH RECURSIVE") and body[14:15].isspace():
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:4].upper() == "WITH" and body[4:5].isspace():
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{sql}"

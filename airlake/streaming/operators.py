@@ -106,8 +106,12 @@ def _cooldown_fn(hours: int):
             return
         last = state.get[0] if state.exists else None
         out = []
-        for pdf in pdfs:
-            for row in pdf.sort_values("event_at").itertuples(index=False):
+        # one key's rows of this micro-batch may arrive in several chunks:
+        # order them all by event time before applying the cooldown
+        chunks = list(pdfs)
+        batch = pd.concat(chunks, ignore_index=True) if chunks else pd.DataFrame()
+        if len(batch):
+            for row in batch.sort_values("event_at", kind="stable").itertuples(index=False):
                 t = pd.Timestamp(row.event_at)
                 if last is None or t - pd.Timestamp(last) >= gap:
                     out.append((row.user_id, row.notification_type, row.city_id, t.to_pydatetime(),
