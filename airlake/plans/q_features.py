@@ -251,7 +251,18 @@ def mod_model_metrics(spark, sf):
     return _metrics(spark, sf)
 
 
-@register("mod_cities_to_train")
+TRAINED = [
+    ("tff0", f"""SELECT city, datetime, lag(india_aqi, 336) OVER ({W_SQL}) AS lag_336h,
+       {_roll_sql(336, 168)} AS r14, {_std_sql(168, 72)} AS s7 {NN}"""),
+    ("tff", "SELECT city, datetime FROM tff0 WHERE lag_336h IS NOT NULL AND r14 IS NOT NULL AND s7 IS NOT NULL"),
+    ("ttr", f"""SELECT f.city, count(*) AS n FROM tff f JOIN (SELECT city AS k, max(datetime) AS mx FROM tff GROUP BY 1) m
+       ON f.city = m.k WHERE f.datetime <= m.mx - INTERVAL {TEST_DAYS} DAY GROUP BY 1"""),
+    ("tmodels", f"SELECT city FROM ttr WHERE n >= {MIN_ROWS}"),
+]
+
+
+@register("mod_cities_to_train", ctes(*TRAINED, select="""
+SELECT name AS city FROM cities WHERE name NOT IN (SELECT city FROM tmodels)"""))
 def mod_cities_to_train(spark, sf):
     cities = X.cities(spark, sf).select(F.col("name").alias("city"))
     return MD.cities_to_train(_metrics(spark, sf), cities)
@@ -347,7 +358,10 @@ def for_blend(spark, sf):
     return _predictions(spark, sf)
 
 
-@register("for_choose_source")
+@register("for_choose_source", ctes(FI, *TRAINED, select="""
+SELECT city, count(*) AS recent_rows,
+  CASE WHEN count(*) < 24 THEN NULL WHEN city IN (SELECT city FROM tmodels) THEN 'model' ELSE 'baseline' END
+    AS source FROM fi GROUP BY city"""))
 def for_choose_source(spark, sf):
     return FC.choose_source(FE.forecast_input(facts(spark, sf)), _metrics(spark, sf))
 
