@@ -89,8 +89,9 @@ SAVED = CLASSIFY + [
     ("nw", "SELECT max(planned_start) - INTERVAL 7 DAY AS now FROM saved"),
     ("up", """SELECT s.*, (epoch_us(s.planned_start) - epoch_us(nw.now)) / 3.6e9 AS hours_until
      FROM saved s, nw WHERE s.planned_start > nw.now AND s.planned_start <= nw.now + INTERVAL 7 DAY"""),
-    ("tier", """SELECT *, CASE WHEN hours_until > 168 THEN NULL WHEN hours_until > 72 THEN 36.0
-       WHEN hours_until > 24 THEN 18.0 WHEN hours_until > 6 THEN 4.0 ELSE 2.0 END AS cooldown_hours FROM up"""),
+    ("tier", """SELECT *, CAST(CASE WHEN hours_until > 168 THEN NULL WHEN hours_until > 72 THEN 36.0
+       WHEN hours_until > 24 THEN 18.0 WHEN hours_until > 6 THEN 4.0 ELSE 2.0 END AS DOUBLE) AS cooldown_hours
+       FROM up"""),
     ("cool", """SELECT t.* FROM tier t, nw WHERE t.cooldown_hours IS NOT NULL AND NOT EXISTS (
        SELECT 1 FROM notices n WHERE n.notification_type IN ('route_saved', 'route_monitor')
          AND n.route_id = t.route_id AND n.user_id = t.user_id

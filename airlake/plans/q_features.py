@@ -49,8 +49,9 @@ NN = "FROM facts WHERE india_aqi IS NOT NULL"
 
 
 @register("fea_time_features", f"""
-SELECT city, datetime, hour(datetime) AS hour, {C.weekday_sql('datetime')} AS day_of_week,
-       month(datetime) AS month, dayofyear(datetime) AS day_of_year, weekofyear(datetime) AS week_of_year,
+SELECT city, datetime, CAST(hour(datetime) AS INTEGER) AS hour,
+       CAST({C.weekday_sql('datetime')} AS INTEGER) AS day_of_week, CAST(month(datetime) AS INTEGER) AS month,
+       CAST(dayofyear(datetime) AS INTEGER) AS day_of_year, CAST(weekofyear(datetime) AS INTEGER) AS week_of_year,
        CAST({C.weekday_sql('datetime')} >= 5 AS INTEGER) AS is_weekend,
        {C.season_code_sql('month(datetime)')} AS season_enc FROM facts""")
 def fea_time_features(spark, sf):
@@ -139,8 +140,8 @@ WITH l AS (SELECT city, datetime, india_aqi, coalesce(temperature_c, 20.0::DOUBL
                   coalesce(wind_speed_kmh, 5.0::DOUBLE) AS wind_speed_kmh
            FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime DESC) AS rn {NN}) x
            WHERE rn <= 200),
-ff AS (SELECT city, datetime, hour(datetime) AS hour, {C.weekday_sql('datetime')} AS day_of_week,
-              month(datetime) AS month, CAST({C.weekday_sql('datetime')} >= 5 AS INTEGER) AS is_weekend,
+ff AS (SELECT city, datetime, CAST(hour(datetime) AS INTEGER) AS hour,
+              CAST({C.weekday_sql('datetime')} AS INTEGER) AS day_of_week, CAST(month(datetime) AS INTEGER) AS month, CAST({C.weekday_sql('datetime')} >= 5 AS INTEGER) AS is_weekend,
               {', '.join(f'lag(india_aqi, {n}) OVER ({W_SQL}) AS lag_{n}h' for n in (24, 48, 168))},
               {_roll_sql(24, 8)} AS rolling_24h_mean, {_roll_sql(168, 24)} AS rolling_7d_mean,
               {_std_sql(168, 24)} AS rolling_7d_std, temperature_c, wind_speed_kmh FROM l)

@@ -129,7 +129,8 @@ BREAKDOWN = USERS + [
 FROM users u, fl"""),
     ("bd", """SELECT *, CASE WHEN value = 1.0 THEN 'neutral' WHEN value > 1.0 THEN 'increases_risk'
             ELSE 'decreases_risk' END AS impact,
-       row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 1.0) DESC, position) AS dominance_rank
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY abs(value - 1.0) DESC, position) AS INTEGER)
+         AS dominance_rank
 FROM fr"""),
 ]
 

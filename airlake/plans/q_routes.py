@@ -94,7 +94,7 @@ def geo_haversine_km(spark, sf):
 
 
 @register("geo_nearest_city", ctes(WPN, ("mid", "SELECT * FROM wpn WHERE pos = npts // 2"), select=f"""
-SELECT request_id, route_idx, city_id AS nearest_id FROM (
+SELECT request_id, route_idx, CAST(city_id AS BIGINT) AS nearest_id FROM (
   SELECT m.request_id, m.route_idx, c.city_id, row_number() OVER (PARTITION BY m.request_id, m.route_idx
      ORDER BY {G.haversine_km_sql('m.lat', 'm.lon', 'c.latitude', 'c.longitude')}, c.city_id) AS rn
   FROM mid m, cities c) x WHERE rn = 1"""))

@@ -30,14 +30,14 @@ def qry_latest_per_city(spark, sf):
 
 
 @register("qry_rankings_desc", f"""
-SELECT city_id, {CUR}, row_number() OVER (ORDER BY india_aqi DESC NULLS FIRST, city) AS rank
+SELECT city_id, {CUR}, CAST(row_number() OVER (ORDER BY india_aqi DESC NULLS FIRST, city) AS INTEGER) AS rank
 FROM {LATEST_SQL} t""")
 def qry_rankings_desc(spark, sf):
     return S.rankings(S.latest_per_city(facts(spark, sf)), "desc")
 
 
 @register("qry_rankings_asc", f"""
-SELECT city_id, {CUR}, row_number() OVER (ORDER BY india_aqi ASC NULLS LAST, city) AS rank
+SELECT city_id, {CUR}, CAST(row_number() OVER (ORDER BY india_aqi ASC NULLS LAST, city) AS INTEGER) AS rank
 FROM {LATEST_SQL} t""")
 def qry_rankings_asc(spark, sf):
     return S.rankings(S.latest_per_city(facts(spark, sf)), "asc")
@@ -113,7 +113,7 @@ def qry_best_worst_city(spark, sf):
 @register("qry_search_cities", f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY india_aqi DESC NULLS FIRST, city) AS rank
            FROM {LATEST_SQL} t)
-SELECT rank, city, state, india_aqi FROM r
+SELECT CAST(rank AS INTEGER) AS rank, city, state, india_aqi FROM r
 WHERE contains(lower(city), 'a') OR contains(lower(state), 'a') ORDER BY rank LIMIT 8""")
 def qry_search_cities(spark, sf):
     return S.search_cities(S.rankings(S.latest_per_city(facts(spark, sf)), "desc"), "a")

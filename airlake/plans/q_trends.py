@@ -106,7 +106,7 @@ def trd_trend_narrative(spark, sf):
 
 # -- pollutants --------------------------------------------------------------
 
-_STD_ROWS = ", ".join(f"({i}, '{n}', '{c}', {s!r})" for i, (n, c, s) in enumerate(K.POLLUTANT_STANDARDS))
+_STD_ROWS = ", ".join(f"({i}, '{n}', '{c}', {s!r}::DOUBLE)" for i, (n, c, s) in enumerate(K.POLLUTANT_STANDARDS))
 
 
 def _unpivot(src: str) -> str:
