@@ -283,14 +283,16 @@ def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     decision is made where the row is, without a join."""
     out = docs
     for index in indexes(items, item_key, item_text, items_per_index):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        out = out.filter(_clean(docs.sparkSession.sparkContext.broadcast(index), threshold, overlap)(F.col(text).cast("string")))
+    return out
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            ok = np.ones(len(texts), bool)
-            for d, *_ in search(shared.value, texts.tolist(), threshold, overlap):
-                ok[d] = False
-            return pd.Series(ok)
 
-        out = out.filter(clean(F.col(text).cast("string")))
-    return out
+def _clean(index, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        ok = np.ones(len(texts), bool)
+        for d, *_ in search(index.value, texts.tolist(), threshold, overlap):
+            ok[d] = False
+        return pd.Series(ok)
+
+    return clean
