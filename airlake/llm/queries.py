@@ -155,7 +155,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     manifest = records.write_records(documents(spark, sf_dir), records.default_folder(spark),
                                      public_tokenizers.path("word_bpe_49k.json"), END_ID)
-    return records.checked_ids(records.read_records(manifest)).withColumnRenamed("key", "doc_id")
+    return records.checked_ids(manifest).withColumnRenamed("key", "doc_id")
 
 
 # -- op7 -------------------------------------------------------------------

@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import array
 import functools
+import io
 import itertools
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,9 @@ MANIFEST = "part int, data string, index string, records long, tokens long, byte
 CACHED_PIECES = 800_000
 _LETTERS, _SYMBOLS = r"a-zß-öø-ÿ", r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 PLAIN_TEXT = re.compile(f"[A-ZÀ-ÖØ-Þ{_LETTERS}0-9 \t\n\r{_SYMBOLS}]*").fullmatch
+#: The byte-level alphabet: bytes that have no printable sign of their own stand above U+00FF, in order.
+_OWN_SIGN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _OWN_SIGN)}
 PIECES = re.compile(f"[{_LETTERS}]+|[{_SYMBOLS}]+|[0-9]").findall
 BLOCK_RECORDS = 1_000
 
@@ -85,38 +88,38 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         self.by_piece, self.cached = by_piece, cached
         self.ids: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.width == 2 else "I"
-        return [array.array(code, e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        late: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if not self.by_piece or "<|" in text or not PLAIN_TEXT(text):
-                out[i] = self.whole([text])[0]
-                continue
-            pieces = PIECES(text.lower())
-            try:
-                out[i] = b"".join(map(self.ids.__getitem__, pieces))
-            except KeyError:
-                late[i] = pieces
-        for lo in range(0, len(late), 64):
-            some = list(late)[lo:lo + 64]
-            need = set().union(*(late[i] for i in some))
-            new = list(need.difference(self.ids))
-            if len(self.ids) + len(new) > self.cached:
-                self.ids.clear()
-                new = list(need)
-            self.ids.update(zip(new, self.whole(new)))
-            for i in some:
-                out[i] = b"".join(map(self.ids.__getitem__, late[i]))
-        return out
+    def whole(self, text: str) -> bytes:
+        return array.array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """A piece is in normal form and one pre-token already: it goes to the
+        model as the byte-level alphabet writes it."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = array.array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+        if len(self.ids) >= self.cached:
+            self.ids.clear()
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_piece or "<|" in text or not PLAIN_TEXT(text):
+            return self.whole(text)
+        pieces = PIECES(text.lower())
+        try:
+            return b"".join(map(self.ids.__getitem__, pieces))
+        except KeyError:
+            for p in set(pieces).difference(self.ids):
+                self.ids[p] = self.piece(p)
+        try:
+            return b"".join(map(self.ids.__getitem__, pieces))
+        except KeyError:  # the cache was emptied on the way
+            return self.whole(text)
 
 
 @functools.lru_cache(maxsize=1)
@@ -164,7 +167,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
             for batch in itertools.chain([first], batches):
                 entries, out = np.zeros(len(batch), ENTRY), []
                 keys, nulls = batch["key"].fillna(0).to_numpy(np.int64), batch["key"].isna().to_numpy()
-                for i, ids in enumerate(encode(batch["text"].tolist())):
+                for i, text in enumerate(batch["text"]):
+                    ids = encode(text)
                     payload = struct.pack(KEY, int(nulls[i]), int(keys[i]), encode.width) + ids + end
                     count = len(ids) // encode.width + 1
                     entries[i] = (offset, keys[i], tokens, count)
@@ -180,12 +184,13 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, key:
     return saved(rows.mapInPandas(write, MANIFEST), "record-manifest")
 
 
-def read_records(manifest: DataFrame, shuffle_seed: int | None = None,
+def scan_records(manifest: DataFrame, of_record, schema: str, shuffle_seed: int | None = None,
                  block_records: int = BLOCK_RECORDS) -> DataFrame:
-    """part, nth, key, start (tokens of all records before it), ids (bytes),
-    width, from the files themselves. Every checksum is verified. Files are
-    cut into blocks of records that are read apart through the index; with a
-    ``shuffle_seed`` the blocks come in a random order that the seed fixes.
+    """Reads the files back and gives one row ``of_record(key, start, ids,
+    width)`` per record, where start counts the tokens of all records before
+    it. Every checksum is verified. Files are cut into blocks of records that
+    are read apart through the index; with a ``shuffle_seed`` the blocks come
+    in a random order that the seed fixes.
     """
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
     files = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
@@ -194,42 +199,51 @@ def read_records(manifest: DataFrame, shuffle_seed: int | None = None,
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.xxhash64("part", "first", F.lit(shuffle_seed))] if shuffle_seed is not None else [F.col("part"), F.col("first")]
     blocks = blocks.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    names = [f.split()[0] for f in schema.split(",")]
 
     def read(batches):
-        for batch in batches:
-            for b in batch.itertuples(index=False):
-                system, data = _files(b.data)
-                count = min(block_records, b.records - b.first)
-                with system.open_input_file(_files(b.index)[1]) as f:
-                    f.seek(b.first * ENTRY.itemsize)
-                    entries = np.frombuffer(f.read(count * ENTRY.itemsize), ENTRY)
-                if len(entries) != count:
-                    raise ValueError(f"index of {b.data} is too short")
-                rows = []
-                with system.open_input_file(data) as f:
-                    f.seek(int(entries["offset"][0]))
-                    for i, e in enumerate(entries):
-                        payload = unframe(f)
-                        null, key, width = struct.unpack_from(KEY, payload)
-                        ids = payload[KEY_BYTES:]
-                        if key != e["key"] or len(ids) != width * int(e["tokens"]):
-                            raise ValueError(f"index and data of {b.data} differ")
-                        rows.append((b.part, b.first + i, None if null else key, int(b.base + e["before"]), ids, width))
-                for at in range(0, len(rows), 256):
-                    yield pd.DataFrame(rows[at:at + 256], columns=["part", "nth", "key", "start", "ids", "width"]).astype(
-                        {"key": "Int64"})
-
-    return blocks.mapInPandas(read, "part int, nth long, key long, start long, ids binary, width int")
-
-
-def checked_ids(records: DataFrame) -> DataFrame:
+        for b in (x for batch in batches for x in batch.itertuples(index=False)):
+            system, data = _files(b.data)
+            count = min(block_records, b.records - b.first)
+            with system.open_input_file(_files(b.index)[1]) as f:
+                f.seek(b.first * ENTRY.itemsize)
+                entries = np.frombuffer(f.read(count * ENTRY.itemsize), ENTRY)
+            if len(entries) != count:
+                raise ValueError(f"index of {b.data} is too short")
+            rows, held = [], 0
+            with system.open_input_file(data) as f:
+                f.seek(int(entries["offset"][0]))
+                stream = io.BufferedReader(f, 1 << 20)
+                for e in entries:
+                    payload = unframe(stream)
+                    null, key, width = struct.unpack_from(KEY, payload)
+                    ids = payload[KEY_BYTES:]
+                    if key != e["key"] or len(ids) != width * int(e["tokens"]):
+                        raise ValueError(f"index and data of {b.data} differ")
+                    rows.append(of_record(None if null else key, int(b.base + e["before"]), ids, width))
+                    held += len(ids)
+                    if held > 1 << 24:
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return blocks.mapInPandas(read, schema)
+
+
+def read_records(manifest: DataFrame, shuffle_seed: int | None = None,
+                 block_records: int = BLOCK_RECORDS) -> DataFrame:
+    """key, start, ids (bytes), width of every record."""
+    return scan_records(manifest, lambda *record: record, "key long, start long, ids binary, width int",
+                        shuffle_seed, block_records)
+
+
+def checked_ids(manifest: DataFrame) -> DataFrame:
     """key, start, n_tokens, ids_crc32 (over the ids as unsigned 32-bit integers)."""
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series, width: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(ids, width)], dtype="int64")
+    def digest(key, start, ids, width):
+        wide = ids if width == 4 else np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()
+        return key, start, len(ids) // width, zlib.crc32(wide)
 
-    return records.select("key", "start", (F.octet_length("ids") / F.col("width")).cast("long").alias("n_tokens"),
-                          crc("ids", "width").alias("ids_crc32"))
+    return scan_records(manifest, digest, "key long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_folder(spark: SparkSession) -> str:
