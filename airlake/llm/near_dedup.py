@@ -11,13 +11,19 @@
    differing values. Each chunk is entered once per choice of ``errors``
    values left out, so all such pairs meet in a bucket: no pair below that
    signature distance is lost.
-4. Buckets are not expanded into pairs. Each round takes pivots of every
-   bucket and compares them with the members that are not in the pivot's
-   component yet. A pivot that has met all members retires, and a bucket is
-   done once its members share one component. The first round has one pivot
-   per bucket, later ones eight times as many, so a large group of near copies
-   takes one star, and every pair that could still join two components is
-   compared in the end. There is no cap on buckets or partners.
+4. Buckets are not expanded into pairs. First every bucket takes its most
+   connected member as pivot and compares it with the others: a large group of
+   near copies takes one star. Buckets whose members then share one component
+   are done. The members of the others can still hold links between two
+   components; they are entered again by prefix filtering: with the shingles
+   ordered from rare to frequent among these documents, two sets of the asked
+   similarity share one of their first n - ceil(n * similarity) + 1 shingles,
+   at places that still leave room for the overlap they need. A document whose
+   first shingles occur nowhere else leaves at once. In the buckets that
+   remain, rounds of pivots meet all members of other components that they
+   could be similar to; a pivot that has met them retires, and each round
+   takes 64 times as many. In the end every pair that could join two
+   components has been compared. There is no cap on buckets or partners.
 5. A pair within the signature distance is confirmed on the full shingle
    sets: 100 * intersection >= percent * union.
 6. Confirmed links give components by distributed hooking and jumping.
@@ -32,6 +38,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -136,6 +143,22 @@ def bucket_members(reps: DataFrame) -> DataFrame:
     return reps.select("rep", F.explode(keys("sig")).alias("bucket"))
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words_per_shingle: int) -> DataFrame:
+    """rep, shingles (bytes) of the documents whose key is in ``wanted`` (rep)."""
+    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    small = wanted.count() <= BROADCAST_KEYS
+    picked = picked.join(F.broadcast(wanted) if small else wanted, F.col("key") == F.col("rep"), "left_semi")
+
+    def sets(batches):
+        from airlake.llm.near_dedup import shingle_set as shingles_of
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo:lo + 500]
+                yield pd.DataFrame({"rep": part["key"], "shingles": [shingles_of(t, words_per_shingle).tobytes() for t in part["text"]]})
+
+    return saved(picked.mapInPandas(sets, "rep long, shingles binary"), "shingle-sets")
+
+
 def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str, words_per_shingle: int,
             percent: int, distance: int) -> DataFrame:
     """The pairs (a, b) within the signature distance whose full sets are similar enough."""
@@ -155,23 +178,54 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
             .filter(apart("sig_a", "sig_b") <= distance).select("a", "b", "n_a", "n_b"))
     near = saved(near, "near-pairs")
     wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    small = wanted.count() <= BROADCAST_KEYS
-    picked = picked.join(F.broadcast(wanted) if small else wanted, F.col("key") == F.col("rep"), "left_semi")
-
-    def sets(batches):
-        from airlake.llm.near_dedup import shingle_set as shingles_of
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo:lo + 500]
-                yield pd.DataFrame({"rep": part["key"], "shingles": [shingles_of(t, words_per_shingle).tobytes() for t in part["text"]]})
-
-    full = saved(picked.mapInPandas(sets, "rep long, shingles binary"), "shingle-sets")
+    full = full_sets(docs, wanted, key, text, words_per_shingle)
     both = (near.join(full.toDF("b", "set_b"), "b").join(full.toDF("a", "set_a"), "a")
             .withColumn("i", common("set_a", "set_b")))
     return both.filter(100 * F.col("i") >= percent * (n_a + n_b - F.col("i"))).select("a", "b").distinct()
 
 
+def prefix_members(docs: DataFrame, wanted: DataFrame, key: str, text: str, words_per_shingle: int,
+                   percent: int) -> DataFrame:
+    """(bucket, rep, n, place, leads): each document of ``wanted`` under the
+    shingles of its prefix that another document of ``wanted`` has too, and
+    the shingle's place in the document's order. ``leads``: the place also
+    fits a partner of the same size or larger; each similar pair has such a
+    side, so only these rows need to be pivots."""
+    @F.pandas_udf("array<long>")
+    def listed(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(s, np.int64) for s in sets], dtype=object)
+
+    full = full_sets(docs, wanted, key, text, words_per_shingle)
+    x = full.select("rep", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.explode(listed("shingles")).alias("bucket"))
+    common = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    of_doc = W.partitionBy("rep")
+    n = F.col("n")
+    place = F.row_number().over(of_doc.orderBy("df", "bucket")) + n - F.count(F.lit(1)).over(of_doc)
+    return (x.join(common, "bucket").withColumn("place", place)
+            .filter(F.col("place") <= n - F.ceil(n * percent / 100) + 1)
+            .select("bucket", "rep", "n", "place", (F.col("place") <= n - overlap_needed(n, n, percent) + 1).alias("leads")))
+
+
+def overlap_needed(n, m, percent: int):
+    """Least number of common shingles of similar sets of n and m."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _with_component(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("comp", F.col("rep"))
+    return (members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+            .withColumn("comp", F.coalesce("root", "rep")).drop("root"))
+
+
+def _open(members: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
+    """The members of buckets that still hold two components and a row to be pivot."""
+    m = _with_component(members, roots)
+    leads = F.max("leads") if "leads" in members.columns else F.lit(True)
+    two = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leads.alias("lead")).filter("lo < hi and lead")
+    return saved(m.join(two.select("bucket"), "bucket").select(*members.columns), name)
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     words_per_shingle: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (smallest key
@@ -187,22 +241,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = saved(own.groupBy("digest").agg(F.min("key").alias("rep"), F.first("sig").alias("sig"),
                                               F.first("n_shingles").alias("n_shingles")), "near-classes")
     reps = classes.select("rep", "sig", "n_shingles")
-    entered = bucket_members(reps)
-    shared = entered.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
-    members = saved(entered.join(shared.select("bucket"), "bucket").distinct(), "near-buckets")
-
     links = tested = roots = None
-    pivots_per_bucket = 1
-    while not members.isEmpty():
-        salt = F.pmod(F.xxhash64("rep", F.lit(pivots_per_bucket)), F.lit(pivots_per_bucket))
-        m = members if roots is None else members.join(
-            roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        m = m.withColumn("comp", F.coalesce("root", "rep") if roots is not None else F.col("rep"))
-        pivots = (m.withColumn("salt", salt).groupBy("bucket", "salt").agg(F.min(F.struct("rep", "comp")).alias("p"))
-                  .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
-        pivots = saved(pivots, "near-pivots")
-        pairs = (m.join(pivots, "bucket").filter("comp <> pivot_comp")
-                 .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal links, tested, roots
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "near-candidates")
@@ -210,12 +252,38 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         new = saved(confirm(pairs, reps, docs, key, text, words_per_shingle, percent, reach()), "near-links")
         links = new if links is None else links.unionByName(new)
         roots = components(links)
-        rest = (members.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-                .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-                .withColumn("comp", F.coalesce("root", "rep")))
-        open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-        members = saved(rest.join(open_.select("bucket"), "bucket").select("bucket", "rep"), "near-buckets")
-        pivots_per_bucket *= 8
+
+    def stars(m: DataFrame, pivots: DataFrame, fits=F.lit(True)) -> DataFrame:
+        return (m.join(pivots, "bucket").filter(F.col("comp") != F.col("pivot_comp")).filter(fits)
+                .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
+
+    entered = bucket_members(reps)
+    shared = (entered.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+              .filter("lo < hi"))
+    members = saved(entered.join(shared.select("bucket", "met"), "bucket"), "near-buckets")
+    weight = members.groupBy("rep").agg(F.sum("met").alias("weight"))
+    members = members.select("bucket", "rep")
+    first = (members.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("p"))
+             .select("bucket", (-F.col("p.least")).alias("pivot")).withColumn("pivot_comp", F.col("pivot")))
+    if not members.isEmpty():
+        compare(stars(_with_component(members, None), first))
+        members = _open(members, roots, "near-buckets")
+        members = saved(prefix_members(docs, members.select("rep").distinct(), key, text, words_per_shingle, percent),
+                        "near-prefixes")
+        members = _open(members, roots, "near-prefixes")
+        salts = 1
+        while not members.isEmpty():
+            salt = F.pmod(F.xxhash64("rep", F.lit(salts)), F.lit(salts))
+            m = _with_component(members, roots)
+            pivots = saved(m.filter("leads").groupBy("bucket", salt.alias("salt"))
+                           .agg(F.min(F.struct("rep", "comp", "n", "place")).alias("p"))
+                           .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"),
+                                   F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place")), "near-pivots")
+            room = F.least(F.col("n") - F.col("place"), F.col("pivot_n") - F.col("pivot_place")) + 1
+            compare(stars(m, pivots, room >= overlap_needed(F.col("n"), F.col("pivot_n"), percent)))
+            left = members.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+            members = _open(left.select(*members.columns), roots, "near-prefixes")
+            salts *= 64
 
     out = f.join(classes.select("digest", "rep"), "digest", "left")
     if roots is not None:
