@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontamination, exact_dedup, language, mixing, near_dedup, records, sharding, url_filter
+from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, records, sharding, url_filter
 from .common import documents
 from .mixing import P
 
@@ -14,6 +14,24 @@ END_ID = 2
 SHARDS = 40
 
 
+# -- op1 -------------------------------------------------------------------
+
+def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the pattern spans; ``spans`` holds the tagger's as well."""
+    docs = documents(spark, sf_dir)
+    found = pii.find(docs, pii.train(docs))
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.encode(written(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+                        written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+                        F.size("added").cast("long").alias("n_added"))
+
+
 # -- op3 -------------------------------------------------------------------
 
 FIRST_FETCH = "2024-01-01"
@@ -213,6 +231,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
     "op3_url_lists": op3_url_lists, "op4_exact_dedup": op4_exact_dedup, "op5_curriculum_mix": op5_curriculum_mix,
     "op6_token_records": op6_token_records, "op7_benchmark_bm25": op7_benchmark_bm25,
     "op8_hamming_minhash": op8_hamming_minhash, "op9_language_ecoc": op9_language_ecoc, "op10_jump_shards": op10_jump_shards,
