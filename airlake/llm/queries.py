@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, records, sharding, url_filter
+from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, records, sharding, suffix_dedup, url_filter
 from .common import documents
 from .mixing import P
 
@@ -32,6 +32,14 @@ def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("added").cast("long").alias("n_added"))
 
 
+# -- op2 -------------------------------------------------------------------
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 # -- op3 -------------------------------------------------------------------
 
 FIRST_FETCH = "2024-01-01"
@@ -232,7 +240,7 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
-    "op3_url_lists": op3_url_lists, "op4_exact_dedup": op4_exact_dedup, "op5_curriculum_mix": op5_curriculum_mix,
+    "op2_suffix_dedup": op2_suffix_dedup, "op3_url_lists": op3_url_lists, "op4_exact_dedup": op4_exact_dedup, "op5_curriculum_mix": op5_curriculum_mix,
     "op6_token_records": op6_token_records, "op7_benchmark_bm25": op7_benchmark_bm25,
     "op8_hamming_minhash": op8_hamming_minhash, "op9_language_ecoc": op9_language_ecoc, "op10_jump_shards": op10_jump_shards,
 }
