@@ -48,7 +48,7 @@ ITEMS_PER_BLOCK = 8
 COMMON = 0.05
 ITEMS_PER_INDEX = 20_000
 #: Words whose windows are scored together.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 200_000
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -84,13 +84,20 @@ def covered(part: list[str], window: list[str]) -> float:
     return len(want & have) / len(want)
 
 
+class Terms(dict):
+    """Term numbers; -1 for words that no item has."""
+
+    def __missing__(self, term: str) -> int:
+        return -1
+
+
 @dataclass
 class Index:
     """Block-max inverted index over test items; picklable, broadcast to the tasks."""
 
     items: list                     # item ids by position, short items first
     parts: list                     # (question words, answer words) by position
-    terms: dict                     # term -> number
+    terms: Terms
     impacts: list                   # by term: (positions, normalised impacts)
     essential: np.ndarray           # by term: whether it generates candidates
     start: np.ndarray               # block list of a term: slots start[t]..start[t+1]
@@ -108,7 +115,7 @@ def build_index(items: list[tuple], n_items: int, df: dict[str, int], mean_lengt
     rows = sorted(((len(w), i, t, w) for i, t in items if (w := words_of(t))), key=lambda r: (r[0], r[1]))
     if not rows:
         return None
-    terms: dict[str, int] = {}
+    terms = Terms()
     postings: list[list[tuple[int, float]]] = []
     for at, (length, _, _, words) in enumerate(rows):
         norm = K1 * (1 - B + B * length / mean_length)
@@ -116,7 +123,9 @@ def build_index(items: list[tuple], n_items: int, df: dict[str, int], mean_lengt
                   for t, tf in Counter(words).items()}
         own = sum(impact.values())
         for t, x in impact.items():
-            n = terms.setdefault(t, len(terms))
+            if t not in terms:
+                terms[t] = len(terms)
+            n = terms[t]
             if n == len(postings):
                 postings.append([])
             postings[n].append((at, x / own))
@@ -167,23 +176,22 @@ def candidate_blocks(index: Index, terms: np.ndarray, windows: np.ndarray, n_win
 def search(index: Index, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP):
     """(text number, item id, score, question overlap, answer overlap) of all
     verified pairs; the best window of each pair."""
-    words = [words_of(t) for t in texts]
-    lo = 0
-    while lo < len(words):
-        hi, total = lo, 0
-        while hi < len(words) and (hi == lo or total + len(words[hi]) <= BATCH_WORDS):
-            total += len(words[hi])
-            hi += 1
-        yield from _search(index, words[lo:hi], lo, threshold, overlap)
-        lo = hi
+    some: list[list[str]] = []
+    held = first = 0
+    for i, text in enumerate(texts):
+        some.append(words_of(text))
+        held += len(some[-1])
+        if held >= BATCH_WORDS or i == len(texts) - 1:
+            yield from _search(index, some, first, threshold, overlap)
+            some, held, first = [], 0, i + 1
 
 
 def _search(index: Index, docs: list[list[str]], first: int, threshold: float, overlap: float):
-    look, per = index.terms.get, -(-index.window // index.step)
+    look, per = index.terms.__getitem__, -(-index.window // index.step)
     terms, windows, base, owner = [], [], 0, []
     for d, words in enumerate(docs):
         n = max(1, -(-(len(words) - index.window) // index.step) + 1)
-        ids = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(look, words), np.int64, len(words))
         at = np.flatnonzero(ids >= 0)
         for back in range(per):
             w = at // index.step - back
@@ -195,7 +203,8 @@ def _search(index: Index, docs: list[list[str]], first: int, threshold: float, o
     if not docs:
         return
     n_terms = len(index.terms)
-    pair = np.unique(np.concatenate(windows) * n_terms + np.concatenate(terms))
+    pair = np.sort(np.concatenate(windows) * n_terms + np.concatenate(terms))
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     of, term = pair // n_terms, pair % n_terms
     w_hit, b_hit = candidate_blocks(index, term, of, base, threshold)
     starts = np.array([b for b, _ in owner])
