@@ -49,7 +49,7 @@ PERCENT = 80
 VALUES, CHUNK, ERRORS, BITS = 40, 4, 1, 16
 #: Candidate keys that may be broadcast to pick their texts (8 bytes each).
 BROADCAST_KEYS = 1_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 100_000
 
 
 class WordHashes(dict):
