@@ -25,7 +25,7 @@ import numpy as np
 
 DEPTH = 56
 CAP = 250  # common prefixes are kept in a byte
-MEMORY = 256 << 20
+MEMORY = 64 << 20
 BLOCK = 1 << 19
 
 
@@ -86,7 +86,7 @@ def types(text: np.ndarray) -> np.ndarray:
     n = len(text)
     up = np.ones(n, bool)
     up[:-1] = text[:-1] < text[1:]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     at[:-1][text[:-1] == text[1:]] = n - 1
     return up[np.minimum.accumulate(at[::-1])[::-1]]
 

@@ -36,9 +36,9 @@ from .induced_sort import suffixes_descending
 LENGTH = 50
 GRAM = 16
 #: Bytes of text for each bucket of anchors and each shard of pieces.
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 24 << 20
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
 #: Bytes of text whose anchors or pieces are packed together.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 8 << 20
 CHUNK = 1 << 20
 #: Rows of keys (8 bytes) or of removal ranges that may be broadcast, and the bytes of those ranges.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
@@ -208,7 +208,7 @@ def shard_ranges(pieces: list[bytes], uses: np.ndarray, keys: np.ndarray, starts
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, ranges): of each document that loses bytes, packed pairs of int64
-    (start, end) in bytes of its UTF-8 text; they may overlap.
+    (start, end), the maximal removed runs in bytes of its UTF-8 text.
 
     Null texts count as empty. Rows with a null key are not compared. A key
     stands for one document: rows that repeat it must repeat its text.
@@ -226,6 +226,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     shared = saved(_shared_anchors(texts, max(n, total // BUCKET_BYTES), length), "repeat-anchors")
     pieces = _pieces(texts.join(shared, "key"), max(n, total // SHARD_BYTES), length)
 
+    receivers = max(n, total // BUCKET_BYTES)
+
     def ranges_of(group: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, list] = {}
         for r in group.itertuples(index=False):
@@ -238,21 +240,27 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         k = np.concatenate([k for v in found.values() for k, _ in v])
         s = np.concatenate([s for v in found.values() for _, s in v])
         key_, start, end = shard_ranges(list(found), uses, k, s, length)
-        o = np.lexsort((start, key_))
-        key_, both = key_[o], np.stack([start[o], end[o]], 1)
-        cut = np.flatnonzero(key_[1:] != key_[:-1]) + 1
-        return pd.DataFrame({"key": key_[np.append(0, cut)] if len(key_) else [],
-                             "ranges": [_merged(x).tobytes() for x in np.split(both, cut)] if len(key_) else []})
-
-    cut = pieces.groupBy("shard").applyInPandas(ranges_of, "key long, ranges binary")
+        to = (gram_hashes(key_.view(np.uint8), 8)[::8] % np.uint64(receivers)).astype(np.int64) if len(key_) else key_
+        o = np.lexsort((start, key_, to))
+        rows, to = np.stack([key_[o], start[o], end[o]], 1), to[o]
+        cut = np.flatnonzero(to[1:] != to[:-1]) + 1
+        return pd.DataFrame({"receiver": to[np.append(0, cut)] if len(to) else [],
+                             "rows": [x.tobytes() for x in np.split(rows, cut)] if len(to) else []})
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in group["rows"]])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+        return pd.DataFrame({"key": rows[np.append(0, cut), 0], "ranges": [_merged(x[:, 1:]).tobytes() for x in np.split(rows, cut)]})
+
+    cut = (pieces.groupBy("shard").applyInPandas(ranges_of, "receiver long, rows binary")
+           .groupBy("receiver").applyInPandas(gather, "key long, ranges binary"))
 
     def whole(batches):
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "ranges": [np.array([0, x], np.int64).tobytes() for x in b["n"]]})
 
-    both = cut.unionByName(copies.mapInPandas(whole, "key long, ranges binary"))
-    return saved(both.groupBy("key").agg(F.collect_list("ranges").alias("ranges")).select(
-        "key", F.expr("aggregate(ranges, X'', (a, x) -> a || x)").alias("ranges")), "repeat-ranges")
+    return saved(cut.unionByName(copies.mapInPandas(whole, "key long, ranges binary")), "repeat-ranges")
 
 
 def _merged(ranges: np.ndarray) -> np.ndarray:
