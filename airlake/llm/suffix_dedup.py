@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
 from .induced_sort import suffixes_descending
+from .sharding import spread
 
 LENGTH = 50
 GRAM = 16
@@ -99,7 +100,7 @@ def _packs(batches, size):
         yield rows
 
 
-def _shared_anchors(texts: DataFrame, buckets: int, length: int) -> DataFrame:
+def _shared_anchors(texts: DataFrame, buckets: int, receivers: int, length: int) -> DataFrame:
     """(key, hashes): the anchors of each document that another document has too."""
     def pack(batches):
         for rows in _packs(batches, lambda r: len(r.text)):
@@ -125,14 +126,27 @@ def _shared_anchors(texts: DataFrame, buckets: int, length: int) -> DataFrame:
         o = np.argsort(h, kind="stable")
         same = h[o][1:] == h[o][:-1]
         rows = o[np.append(same, False) | np.append(False, same)]
-        rows = rows[np.argsort(k[rows], kind="stable")]
-        h, k = h[rows], k[rows]
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        return pd.DataFrame({"key": k[start], "hashes": [x.tobytes() for x in np.split(h, start[1:])] if len(k) else []})
+        return _packed(np.stack([k[rows], h[rows].view(np.int64)], 1), receivers)
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["rows"]])
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+        return pd.DataFrame({"key": rows[np.append(0, cut), 0], "hashes": [x[:, 1].tobytes() for x in np.split(rows, cut)]})
 
     packed = texts.mapInPandas(pack, "bucket long, keys binary, hashes binary, counts binary")
-    return (packed.groupBy("bucket").applyInPandas(meet, "key long, hashes binary")
-            .groupBy("key").agg(F.collect_list("hashes").alias("hashes")))
+    return (packed.groupBy("bucket").applyInPandas(meet, "receiver long, rows binary")
+            .groupBy("receiver").applyInPandas(gather, "key long, hashes binary"))
+
+
+def _packed(rows: np.ndarray, receivers: int) -> pd.DataFrame:
+    """(receiver, rows): rows of int64 whose first column is a document key, one pack for each receiver."""
+    to = (spread(rows[:, 0].view(np.uint64)) % np.uint64(receivers)).astype(np.int64)
+    o = np.argsort(to, kind="stable")
+    rows, to = rows[o], to[o]
+    cut = np.flatnonzero(to[1:] != to[:-1]) + 1
+    return pd.DataFrame({"receiver": to[np.append(0, cut)] if len(to) else [],
+                         "rows": [x.tobytes() for x in np.split(rows, cut)] if len(to) else []})
 
 
 def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
@@ -143,7 +157,7 @@ def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
             by_shard: dict[int, dict[bytes, list]] = {}
             for r in rows:
                 h, first, last = anchors(np.frombuffer(r.text, np.uint8), length)
-                shared = np.concatenate([np.frombuffer(x, np.uint64) for x in r.hashes])
+                shared = np.frombuffer(r.hashes, np.uint64)
                 on = np.isin(h, shared)
                 for s, f, z in zip((h[on] // np.uint64(7) % np.uint64(shards)).tolist(), first[on].tolist(), last[on].tolist()):
                     by_shard.setdefault(s, {}).setdefault(r.text[f:z + length], []).append((r.key, f))
@@ -223,10 +237,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     few = copies.count() <= BROADCAST_ROWS
     texts = rows.join(F.broadcast(copies.select("key")) if few else copies.select("key"), "key", "left_anti")
 
-    shared = saved(_shared_anchors(texts, max(n, total // BUCKET_BYTES), length), "repeat-anchors")
-    pieces = _pieces(texts.join(shared, "key"), max(n, total // SHARD_BYTES), length)
-
     receivers = max(n, total // BUCKET_BYTES)
+    shared = saved(_shared_anchors(texts, receivers, receivers, length), "repeat-anchors")
+    pieces = _pieces(texts.join(shared, "key"), max(n, total // SHARD_BYTES), length)
 
     def ranges_of(group: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, list] = {}
@@ -240,12 +253,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         k = np.concatenate([k for v in found.values() for k, _ in v])
         s = np.concatenate([s for v in found.values() for _, s in v])
         key_, start, end = shard_ranges(list(found), uses, k, s, length)
-        to = (gram_hashes(key_.view(np.uint8), 8)[::8] % np.uint64(receivers)).astype(np.int64) if len(key_) else key_
-        o = np.lexsort((start, key_, to))
-        rows, to = np.stack([key_[o], start[o], end[o]], 1), to[o]
-        cut = np.flatnonzero(to[1:] != to[:-1]) + 1
-        return pd.DataFrame({"receiver": to[np.append(0, cut)] if len(to) else [],
-                             "rows": [x.tobytes() for x in np.split(rows, cut)] if len(to) else []})
+        return _packed(np.stack([key_, start, end], 1), receivers)
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in group["rows"]])
