@@ -235,16 +235,10 @@ def write_facts(df: DataFrame, path: str, mode: str = "append") -> None:
 def reseed(spark, target_path: str, source: DataFrame, mode: str = "skip", key=KEY) -> str:
     """MRG-20: non-empty target: ``skip`` (default) leaves it, ``replace``
     overwrites it, ``missing`` appends only absent keys. Returns the action."""
-    import os
-    exists = os.path.exists(target_path) if "://" not in target_path else True
-    if exists:
-        try:
-            target = spark.read.parquet(target_path)
-            empty = target.limit(1).count() == 0
-        except Exception:  # noqa: BLE001 - no readable table yet
-            target, empty = None, True
-    else:
-        target, empty = None, True
+    from ..session import has_files
+    # an unreadable target raises here and is left as it is; only an absent or empty one is created
+    target = spark.read.parquet(target_path) if has_files(spark, target_path) else None
+    empty = target is None or target.isEmpty()
     if empty:
         write_facts(source, target_path, "overwrite")
         return "created"

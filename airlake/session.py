@@ -51,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = None
     path = path or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="airlake-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -63,3 +65,12 @@ def cut_lineage(df):
     checkpoints survive executor loss, unlike local ones."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder (of any file system that Spark knows) holds data
+    files. Errors other than its absence are raised."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))

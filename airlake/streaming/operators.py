@@ -32,6 +32,7 @@ from ..functions.calendar import instant_to_ntz, ntz_to_instant
 from ..functions.stats import exact_avg
 from ..operators.enrich import add_derived
 from ..operators.merge import PARAMETER_COLUMNS, PARAMETERS, insert_new
+from ..session import has_files
 
 MEASUREMENT_SCHEMA = T.StructType([
     T.StructField("measurement_id", T.LongType()), T.StructField("station_id", T.LongType()),
@@ -80,9 +81,9 @@ def stream_insert_new(stream: DataFrame, target_path: str, checkpoint: str, key=
     (MRG-10 per micro-batch, so a replayed batch adds nothing twice)."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
+        if has_files(spark, target_path):  # a read error fails the batch, which is then repeated
             target = spark.read.parquet(target_path).select(*key)
-        except Exception:  # noqa: BLE001 - first batch: no target yet
+        else:
             target = spark.createDataFrame([], batch.select(*key).schema)
         insert_new(target, batch, None, key).write.mode("append").parquet(target_path)
 
