@@ -31,18 +31,19 @@ def _r(x: float) -> str:
 
 def base_score(aqi) -> Column:
     """RSK-1: AQI clamped to 0..500, contiguous piecewise linear."""
-    a = F.greatest(F.lit(0.0), F.least(F.lit(500.0), _c(aqi).cast("double")))
-    expr = None
+    given = _c(aqi).cast("double")
+    a = F.greatest(F.lit(0.0), F.least(F.lit(500.0), given))
+    expr = F.when(given.isNull(), F.lit(None).cast("double"))  # a clamp alone would turn NULL into the maximum
     for lo, hi, s_lo, s_hi in K.RISK_AQI_BANDS:
         v = F.lit(float(s_lo)) + F.lit(s_hi - s_lo) * (a - F.lit(float(lo))) / F.lit(float(hi - lo))
         cond = (a >= F.lit(float(lo))) & (a <= F.lit(float(hi)))
-        expr = F.when(cond, v) if expr is None else expr.when(cond, v)
+        expr = expr.when(cond, v)
     return expr.otherwise(F.lit(1.0))
 
 
 def base_score_sql(aqi: str) -> str:
     a = f"greatest(0.0::DOUBLE, least(500.0::DOUBLE, CAST({aqi} AS DOUBLE)))"
-    parts = ["CASE"]
+    parts = [f"CASE WHEN {aqi} IS NULL THEN NULL"]
     for lo, hi, s_lo, s_hi in K.RISK_AQI_BANDS:
         parts.append(f"WHEN {a} >= {_r(lo)} AND {a} <= {_r(hi)} THEN "
                      f"{_r(s_lo)} + {_r(s_hi - s_lo)} * ({a} - {_r(lo)}) / {_r(hi - lo)}")
@@ -109,11 +110,12 @@ def activity_multiplier_sql(level: str) -> str:
 
 def duration_multiplier(hours) -> Column:
     """RSK-5: hours / 8 clamped to 0.25..2."""
-    return F.greatest(F.lit(0.25), F.least(F.lit(2.0), _c(hours).cast("double") / F.lit(8.0)))
+    h = _c(hours).cast("double")
+    return F.when(h.isNotNull(), F.greatest(F.lit(0.25), F.least(F.lit(2.0), h / F.lit(8.0))))
 
 
 def duration_multiplier_sql(hours: str) -> str:
-    return f"greatest(0.25::DOUBLE, least(2.0::DOUBLE, CAST({hours} AS DOUBLE) / 8.0::DOUBLE))"
+    return f"CASE WHEN {hours} IS NOT NULL THEN greatest(0.25::DOUBLE, least(2.0::DOUBLE, CAST({hours} AS DOUBLE) / 8.0::DOUBLE)) END"
 
 
 def sensitivity_multiplier(level) -> Column:

@@ -73,7 +73,10 @@ def fit_ridge(df: DataFrame, features: list[str], target: str, key: str = "city"
             mx, my = sx / n, r["sy"] / n
             cov = sxx / n - np.outer(mx, mx)
             cxy = sxy / n - mx * my
-            scale = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
+            # what is left of a constant column's variance is rounding: its coefficient is 0
+            flat = np.diag(cov) <= 1e-10 * np.maximum(np.diag(sxx) / n, 1e-12)
+            cov[flat, :] = cov[:, flat] = cxy[flat] = 0.0
+            scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, np.diag(cov))))
             a = cov / np.outer(scale, scale) + l2 * np.eye(k)
             beta = np.linalg.solve(a, cxy / scale) / scale
             out.append([r[key], int(n), float(my - beta @ mx)] + [float(b) for b in beta]
@@ -92,7 +95,7 @@ def predict(df: DataFrame, model: DataFrame, features: list[str], key: str = "ci
     for f in features:
         p = p + F.col(f"coef_{f}") * F.col(f).cast("double")
     if clip:
-        p = F.greatest(F.lit(K.FORECAST_CLIP_MIN), F.least(F.lit(K.FORECAST_CLIP_MAX), p))
+        p = F.when(p.isNotNull(), F.greatest(F.lit(K.FORECAST_CLIP_MIN), F.least(F.lit(K.FORECAST_CLIP_MAX), p)))
     return j.withColumn(out, p).drop("intercept", *[f"coef_{f}" for f in features])
 
 

@@ -403,7 +403,7 @@ def planned_route_risk(trips: DataFrame, profiles: DataFrame) -> DataFrame:
     rejected (dropped)."""
     t = trips.filter(F.col("planned_end") > F.col("planned_start"))
     hours = hours_between("planned_start", "planned_end")
-    t = t.withColumn("trip_hours", F.greatest(F.lit(0.25), F.least(F.lit(12.0), hours)))
+    t = t.withColumn("trip_hours", F.when(hours.isNotNull(), F.greatest(F.lit(0.25), F.least(F.lit(12.0), hours))))
     j = t.join(profiles.drop("exposure_hours"), "user_id")
     s = RISK.exposure_risk(j, "avg_aqi", "trip_hours", "activity_level", with_text=True)
     warn = F.col("risk_category").isin("High", "Severe")

@@ -51,3 +51,21 @@ def test_recursive_forecast():
         value = min(K.FORECAST_CLIP_MAX, max(K.FORECAST_CLIP_MIN, value))
         assert abs(value - aqi) < 1e-6
         known[t] = value
+
+
+def test_null_stays_null(spark):
+    from pyspark.sql import functions as F
+
+    from airlake.functions import risk
+    row = spark.range(1).select(risk.base_score(F.lit(None).cast("double")).alias("a"), risk.duration_multiplier(F.lit(None).cast("double")).alias("b"),
+                                risk.base_score(F.lit(700.0)).alias("c")).first()
+    assert row.a is None and row.b is None and row.c == 1.0
+
+
+def test_constant_column_gets_no_coefficient(spark):
+    from airlake.operators.models import fit_ridge
+    r = np.random.default_rng(0)
+    x = r.random(600) * 10
+    df = spark.createDataFrame(pd.DataFrame({"city": "x", "x": x, "p": 1013.0, "y": 3 * x + 7}))
+    m = fit_ridge(df, ["x", "p"], "y", min_rows=100).first()
+    assert m.coef_p == 0.0 and abs(m.coef_x - 3) < 0.05 and abs(m.intercept - 7) < 0.3
