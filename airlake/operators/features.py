@@ -103,11 +103,12 @@ def fill_weather(df: DataFrame, defaults: dict = K.WEATHER_DEFAULTS, key: str =
     """FEA-5: forward then backward fill per key, then the default; an
     absent column becomes the default."""
     back = series_window(key, ts).rowsBetween(W.unboundedPreceding, 0)
-    fwd = series_window(key, ts).rowsBetween(0, W.unboundedFollowing)
+    # read backwards, so that this frame grows by one row as well and is not summed up anew for each row
+    fwd = W.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, 0)
     cols = {}
     for c, d in defaults.items():
         if c in df.columns:
-            cols[c] = F.coalesce(F.last(c, True).over(back), F.first(c, True).over(fwd), F.lit(float(d)))
+            cols[c] = F.coalesce(F.last(c, True).over(back), F.last(c, True).over(fwd), F.lit(float(d)))
         else:
             cols[c] = F.lit(float(d))
     return df.withColumns(cols)
