@@ -176,15 +176,6 @@ def alr_route_change(spark, sf):
     return AL.route_change(p).select("route_id", "aqi_change", "aqi_change_pct", "should_notify")
 
 
-_COUNTDOWN = """CASE WHEN hours_until < 1 THEN CAST(CAST(floor(hours_until * 60) AS BIGINT) AS VARCHAR) || ' minutes'
-       WHEN hours_until < 24 THEN CAST(CAST(floor(hours_until) AS BIGINT) AS VARCHAR) ||
-            CASE WHEN CAST(floor(hours_until) AS BIGINT) <> 1 THEN ' hours' ELSE ' hour' END
-       ELSE CAST(CAST(floor(hours_until / 24) AS BIGINT) AS VARCHAR) ||
-            CASE WHEN CAST(floor(hours_until / 24) AS BIGINT) <> 1 THEN ' days' ELSE ' day' END END"""
-_URGENCY = """CASE WHEN hours_until <= 6 THEN 'URGENT - ' WHEN hours_until <= 24 THEN 'AQI Alert - '
-       ELSE 'AQI Update - ' END"""
-
-
 @register("alr_route_monitor", ctes(*MON,
     ("mf1", """SELECT m.*, p.* EXCLUDE (user_id, exposure_hours),
        greatest(0.25::DOUBLE, least(12.0::DOUBLE, (epoch_us(planned_end) - epoch_us(planned_start)) / 3.6e9))
@@ -192,9 +183,9 @@ _URGENCY = """CASE WHEN hours_until <= 6 THEN 'URGENT - ' WHEN hours_until <= 24
     ("mf2", scored_sql("mf1", "current_aqi", "trip_hours")),
     ("mf3", f"SELECT *, {R.risk_category_sql('risk_score')} AS risk_category FROM mf2"),
     select=f"""SELECT route_id, user_id, current_aqi, previous_aqi, risk_score, risk_category,
-  {_URGENCY} || coalesce(source_name, 'origin') || ' to ' || coalesce(dest_name, 'destination') ||
-  ': AQI ' || {_int('current_aqi')} || ' (was ' || {_int('previous_aqi')} || '), departs in ' ||
-  {_COUNTDOWN} || coalesce(' | Risk: ' || risk_category, '') AS message FROM mf3"""))
+  'AQI Update for ' || coalesce(source_name, 'origin') || ' \u2192 ' || coalesce(dest_name, 'destination') ||
+  ': current AQI ' || {_int('current_aqi')} || ' (' || {_cat('current_aqi')} || ')' ||
+  coalesce(' | Risk: ' || risk_category, '') || '. ' || {_int('hours_until')} || 'h until departure.' AS message FROM mf3"""))
 def alr_route_monitor(spark, sf):
     s, now, ca = _monitor_inputs(spark, sf)
     m = AL.route_monitor(s, X.notices(spark, sf), ca, X.cities(spark, sf), X.profiles(spark, sf), now,
