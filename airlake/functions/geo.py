@@ -70,19 +70,3 @@ def direction_label_sql(src_lat, src_lon, dst_lat, dst_lon, via_lat, via_lon) ->
     return (f"(CASE WHEN abs({dlat}) >= abs({dlon}) THEN CASE WHEN {dlat} > 0 THEN 'Northern' "
             f"ELSE 'Southern' END ELSE CASE WHEN {dlon} > 0 THEN 'Eastern' ELSE 'Western' END END "
             f"|| ' Route')")
-
-
-def nearest_unrolled(lat, lon, cands: list[tuple]) -> Column:
-    """Nearest of a small, fixed candidate list given as Python tuples
-    (id, lat, lon, value): one ``least`` over (distance, id, value)
-    structs - plain expressions, so whole-stage codegen compiles it.
-    Equal distances go to the smaller id."""
-    lat, lon = _c(lat), _c(lon)
-    if not cands:
-        return F.struct(F.lit(None).cast("double").alias("dist"), F.lit(None).cast("long").alias("id"),
-                        F.lit(None).cast("double").alias("value"))
-    items = [F.struct(haversine_km(lat, lon, F.lit(float(la)), F.lit(float(lo))).alias("dist"),
-                      F.lit(int(i)).cast("long").alias("id"),
-                      F.lit(None if v is None else float(v)).cast("double").alias("value"))
-             for i, la, lo, v in cands]
-    return items[0] if len(items) == 1 else F.least(*items)

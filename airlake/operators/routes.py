@@ -2,15 +2,11 @@
 
 Plan shape, for scale:
 
-* Nearest city per waypoint: the candidate cities are packed into arrays
-  of at most ``CHUNK_SIZE`` entries by a Spark ``groupBy`` (never through
-  the driver). The chunk table is broadcast only when the candidate count,
-  checked first, is at most ``BROADCAST_CANDIDATES`` (~40 bytes each, so
-  a few MB at most); beyond that it is joined by shuffle on the chunk id,
-  so every chunk task sees the points once. With one chunk the whole
-  route score is a single map-side projection: sample points with an array
-  filter, fold each point over the candidates, average - no explode, no
-  shuffle, all inside whole-stage codegen.
+* Nearest city per waypoint: points and candidates meet on grid cells. The
+  cells that hold points are refined in steps; each keeps only candidates
+  that can be the nearest of some point in it, so one strategy is exact at
+  every size and no point meets all candidates. Sampled points are exploded
+  and averaged by a partial aggregate.
 * Per-request choices (fastest / clean / balanced, dedupe, similarity)
   use ``groupBy`` aggregates with ``min_by`` (partial aggregation, so a
   request with a huge candidate list is combined map-side) and equi-joins;
@@ -32,8 +28,9 @@ from ..functions.calendar import hours_between
 from ..session import cut_lineage
 from . import risk as RISK
 
-CHUNK_SIZE = 4096
-UNROLL_CANDIDATES = 256
+#: Cell sizes in degrees, coarse to fine; each divides the one before.
+GRID_DEGREES = (16.0, 2.0, 0.25)
+#: Cell candidates (about 40 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_CANDIDATES = 200_000
 DEDUPE_POOL_CAP = 5
 DEDUPE_POOL_CAP_WITH_VIA = 3
@@ -41,67 +38,83 @@ DEDUPE_POOL_CAP_WITH_VIA = 3
 
 # -- nearest candidate -------------------------------------------------------
 
-def small_candidates(cands: DataFrame, id_col: str, lat: str, lon: str, value: str | None = None,
-                     limit: int = UNROLL_CANDIDATES) -> list[tuple] | None:
-    """Candidates as Python tuples when there are at most ``limit`` of them
-    (the size is checked by reading at most limit + 1 rows), else None."""
-    val = F.col(value) if value else F.lit(None).cast("double")
-    rows = (cands.select(F.col(id_col).cast("long"), F.col(lat).cast("double"),
-                         F.col(lon).cast("double"), val.cast("double"))
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        return None
-    return sorted(tuple(r) for r in rows)
-
-
-def candidate_chunks(cands: DataFrame, id_col: str, lat: str, lon: str, value: str | None = None,
-                     chunk_size: int = CHUNK_SIZE):
-    """Pack candidates into arrays by hash of id. Returns (chunks, n, n_chunks)."""
-    n = cands.count()
-    n_chunks = max(1, math.ceil(n / chunk_size))
+def _in_range(lat: Column, lon: Column) -> Column:
+    return (F.abs(lat) <= 90.0) & (F.abs(lon) <= 360.0)
+
+
+def _cell(lat: Column, lon: Column, size: float) -> dict[str, Column]:
+    ok = _in_range(lat, lon)
+    return {"_y": F.when(ok, F.floor(lat / size)), "_x": F.when(ok, F.floor(lon / size))}
+
+
+def _nearer(pairs: DataFrame, size: float) -> DataFrame:
+    """Drops (cell, candidate) pairs whose candidate is too far from the
+    cell's centre to be the nearest of any point in it: a point lies within
+    ``reach`` of the centre, so its nearest candidate lies at most
+    2 * ``reach`` farther out than the candidate closest to the centre."""
+    reach = 0.75 * size * math.pi / 180 * K.EARTH_RADIUS_KM  # half the diagonal is below 0.72 sizes
+    d = pairs.withColumn("_d", G.haversine_km((F.col("_y") + 0.5) * size, (F.col("_x") + 0.5) * size,
+                                              F.col("_c.lat"), F.col("_c.lon")))
+    least = d.groupBy("_y", "_x").agg(F.min("_d").alias("_least"))
+    return d.join(least, ["_y", "_x"]).filter(F.col("_d") <= F.col("_least") + 2 * reach).select("_y", "_x", "_c")
+
+
+def cell_candidates(points: DataFrame, cands: DataFrame, id_col: str, lat: str, lon: str,
+                    value: str | None, point_lat: str, point_lon: str) -> DataFrame:
+    """Per finest cell that holds points (_y, _x), the array of candidates
+    that can be nearest there. Of candidates at the same place the one with
+    the smallest id counts; those without coordinates are left out."""
+    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     val = F.col(value).cast("double") if value else F.lit(None).cast("double")
-    chunks = (cands.select(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)).cast("int").alias("_chunk"),
-                           F.struct(F.col(id_col).cast("long").alias("id"),
-                                    F.col(lat).cast("double").alias("lat"),
-                                    F.col(lon).cast("double").alias("lon"),
-                                    val.alias("value")).alias("c"))
-              .groupBy("_chunk").agg(F.collect_list("c").alias("_cands")))
-    return chunks, n, n_chunks
-
-
-def _attach(df: DataFrame, chunks: DataFrame, n: int, n_chunks: int) -> DataFrame:
-    if n_chunks > 1:
-        df = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    else:
-        df = df.withColumn("_chunk", F.lit(0))
-    side = F.broadcast(chunks) if n <= BROADCAST_CANDIDATES else chunks
-    return df.join(side, "_chunk", "left").drop("_chunk")
+    c = (cands.filter(_in_range(la, lo)).groupBy(la.alias("lat"), lo.alias("lon"))
+         .agg(F.min(F.struct(F.col(id_col).cast("long").alias("id"), val.alias("value"))).alias("m"))
+         .select(F.struct("m.id", "lat", "lon", "m.value").alias("_c")))
+    fine = GRID_DEGREES[-1]
+    held = cut_lineage(points.select(_cell(F.col(point_lat), F.col(point_lon), fine)["_y"].alias("_y"),
+                                     _cell(F.col(point_lat), F.col(point_lon), fine)["_x"].alias("_x"))
+                       .dropna().distinct())
+    top = GRID_DEGREES[0]
+    rows, cols = math.ceil(90 / top), math.ceil(360 / top)
+    pairs = (c.withColumn("_y", F.explode(F.sequence(F.lit(-rows).cast("long"), F.lit(rows).cast("long"))))
+             .withColumn("_x", F.explode(F.sequence(F.lit(-cols).cast("long"), F.lit(cols).cast("long")))))
+    for i, size in enumerate(GRID_DEGREES):
+        k = size / fine
+        cells = held.select(F.floor(F.col("_y") / k).alias("_y"), F.floor(F.col("_x") / k).alias("_x")).distinct()
+        if i == 0:
+            pairs = pairs.join(cells, ["_y", "_x"])
+        else:
+            up = GRID_DEGREES[i - 1] / size
+            cells = cells.select("_y", "_x", F.floor(F.col("_y") / up).alias("_py"),
+                                 F.floor(F.col("_x") / up).alias("_px"))
+            pairs = (pairs.select(F.col("_y").alias("_py"), F.col("_x").alias("_px"), "_c")
+                     .join(cells, ["_py", "_px"]).select("_y", "_x", "_c"))
+        pairs = _nearer(pairs, size)
+    return pairs.groupBy("_y", "_x").agg(F.collect_list("_c").alias("_cands"))
+
+
+def with_nearest(points: DataFrame, cands: DataFrame, id_col: str = "city_id", lat: str = "latitude",
+                 lon: str = "longitude", value: str | None = None, point_lat: str = "lat",
+                 point_lon: str = "lon") -> DataFrame:
+    """``points`` with ``_best`` = struct(dist, id, value) of the nearest
+    candidate (ties: smaller id); NULL for points without coordinates or
+    outside latitude +-90 and longitude +-360, and without candidates."""
+    cells = cut_lineage(cell_candidates(points, cands, id_col, lat, lon, value, point_lat, point_lon))
+    n = cells.agg(F.sum(F.size("_cands"))).first()[0] or 0
+    side = F.broadcast(cells) if n <= BROADCAST_CANDIDATES else cells
+    p = points.withColumns(_cell(F.col(point_lat), F.col(point_lon), GRID_DEGREES[-1]))
+    la, lo, only = F.col(point_lat), F.col(point_lon), F.col("_cands")[0]
+    alone = F.struct(G.haversine_km(la, lo, only["lat"], only["lon"]).alias("dist"), only["id"].alias("id"),
+                     only["value"].alias("value"))
+    best = F.when(F.size("_cands") == 1, alone).otherwise(G.nearest_of(F.col("_cands"), la, lo))
+    return p.join(side, ["_y", "_x"], "left").withColumn("_best", best).drop("_y", "_x", "_cands")
 
 
 def nearest(points: DataFrame, keys: list[str], cands: DataFrame, id_col: str = "city_id",
             lat: str = "latitude", lon: str = "longitude", value: str | None = None,
-            point_lat: str = "lat", point_lon: str = "lon",
-            chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """GEO-2: nearest candidate of every point (ties: smaller id).
-    Returns keys + nearest_id, nearest_km, nearest_value; NULL id when
-    there are no candidates.
-
-    Three exact strategies by candidate count: up to ``UNROLL_CANDIDATES``
-    an unrolled codegen expression; up to ``BROADCAST_CANDIDATES`` a
-    broadcast array folded per point; beyond, chunk arrays joined by
-    shuffle on the chunk id and the per-chunk winners reduced by point."""
-    small = small_candidates(cands, id_col, lat, lon, value)
-    if small is not None:
-        j = points.withColumn("_best", G.nearest_unrolled(F.col(point_lat), F.col(point_lon), small))
-    else:
-        chunks, n, n_chunks = candidate_chunks(cands, id_col, lat, lon, value, chunk_size)
-        j = _attach(points, chunks, n, n_chunks)
-        best = G.nearest_of(F.coalesce(F.col("_cands"), F.array().cast(chunks.schema["_cands"].dataType)),
-                            F.col(point_lat), F.col(point_lon))
-        j = j.withColumn("_best", best).drop("_cands")
-        if n_chunks > 1:
-            j = (j.groupBy(*keys).agg(F.min_by(F.col("_best"), F.struct(F.col("_best.dist"), F.col("_best.id")))
-                                      .alias("_best")))
+            point_lat: str = "lat", point_lon: str = "lon") -> DataFrame:
+    """GEO-2: nearest candidate of every point, as keys + nearest_id,
+    nearest_km, nearest_value (NULL where ``with_nearest`` gives none)."""
+    j = with_nearest(points, cands, id_col, lat, lon, value, point_lat, point_lon)
     return j.select(*keys, F.col("_best.id").alias("nearest_id"),
                     F.when(F.col("_best.id").isNotNull(), F.col("_best.dist")).alias("nearest_km"),
                     F.col("_best.value").alias("nearest_value"))
@@ -165,25 +178,21 @@ def sampled_points(routes: DataFrame, keys=("request_id", "route_idx"), geometry
 
 def exposure_from_points(points: DataFrame, city_aqi: DataFrame, keys=("request_id", "route_idx")) -> DataFrame:
     """GEO-7 on sampled point rows (keys, pos, lat, lon, other route
-    columns): per route, the mean AQI of the nearest city; 0 without
-    points or cities. The route's other columns are carried with
-    ``first`` (they depend on the key), so no wide row is joined back; a
-    route's points come from one input row, so the sum runs in point
-    order."""
+    columns): per route, the mean AQI of the nearest city over its points
+    with coordinates; 0 without such points or without cities. The route's
+    other columns are carried with ``first`` (they depend on the key), so
+    no wide row is joined back. A route has less than twice
+    ``K.ROUTE_SAMPLE_TARGET`` sampled points; they are added in their order,
+    so the mean does not depend on the partitioning."""
     keys = list(keys)
     others = [c for c in points.columns if c not in (*keys, "pos", "lat", "lon")]
-    small = small_candidates(city_aqi, "city_id", "latitude", "longitude", "aqi")
-    if small is not None:
-        val = F.when(F.col("pos").isNotNull(),
-                     G.nearest_unrolled(F.col("lat"), F.col("lon"), small)["value"])
-        agg = points.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others],
-                                        (F.sum(val) / F.count("pos")).alias("avg_aqi_raw"))
-        return agg.withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
-    near = nearest(points.filter(F.col("pos").isNotNull()).select(*keys, "pos", "lat", "lon"),
-                   [*keys, "pos"], city_aqi, "city_id", "latitude", "longitude", "aqi")
-    avg = near.groupBy(*keys).agg(F.avg("nearest_value").alias("avg_aqi_raw"))
-    base = points.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others])
-    return base.join(avg, keys, "left").withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
+    near = with_nearest(points, city_aqi, "city_id", "latitude", "longitude", "aqi")
+    at = F.struct(F.col("pos"), F.col("_best.value").alias("v"))
+    agg = near.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others],
+                                  F.array_sort(F.collect_list(F.when(at["v"].isNotNull(), at))).alias("_at"))
+    total = F.aggregate("_at", F.lit(0.0), lambda acc, p: acc + p["v"])
+    agg = agg.withColumn("avg_aqi_raw", F.when(F.size("_at") > 0, total / F.size("_at"))).drop("_at")
+    return agg.withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
 
 
 def route_exposure(routes: DataFrame, city_aqi: DataFrame, keys=("request_id", "route_idx"),

@@ -1,5 +1,6 @@
 """Route operators against brute force on small inputs."""
 
+import math
 import random
 
 import pytest
@@ -51,20 +52,31 @@ def test_similar_pairs_match_brute_force(spark, routes):
     assert got == want
 
 
-def test_nearest_strategies_agree(spark, monkeypatch):
-    rnd = random.Random(3)
-    cities = spark.createDataFrame([(i, rnd.uniform(8, 30), rnd.uniform(70, 90), float(i)) for i in range(60)],
-                                   "city_id long, latitude double, longitude double, aqi double")
-    pts = spark.createDataFrame([(i, rnd.uniform(8, 30), rnd.uniform(70, 90)) for i in range(300)],
-                                "pid long, lat double, lon double")
-    unrolled = {r.pid: r.nearest_id for r in RT.nearest(pts, ["pid"], cities).collect()}
-    monkeypatch.setattr(RT, "UNROLL_CANDIDATES", 0)
-    monkeypatch.setattr(RT, "small_candidates", lambda *a, **k: None)
-    folded = {r.pid: r.nearest_id for r in RT.nearest(pts, ["pid"], cities).collect()}
-    chunked = {r.pid: r.nearest_id for r in RT.nearest(pts, ["pid"], cities, chunk_size=7).collect()}
-    monkeypatch.setattr(RT, "BROADCAST_CANDIDATES", 0)
-    shuffled = {r.pid: r.nearest_id for r in RT.nearest(pts, ["pid"], cities, chunk_size=7).collect()}
-    assert unrolled == folded == chunked == shuffled
+def _km(la1, lo1, la2, lo2):
+    p1, p2 = math.radians(la1), math.radians(la2)
+    a = (math.sin(math.radians(la2 - la1) / 2) ** 2
+         + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lo2 - lo1) / 2) ** 2)
+    return 2 * 6371 * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+
+@pytest.mark.parametrize("n,spread", [(0, 1.0), (1, 1.0), (10, 1.0), (300, 1.0), (3000, 1.0), (300, 0.02)])
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_nearest_is_brute_force_at_every_size(spark, monkeypatch, n, spread, bound):
+    """One strategy for every candidate count, broadcast or shuffled, with
+    missing coordinates, candidates at one place and points across the globe."""
+    monkeypatch.setattr(RT, "BROADCAST_CANDIDATES", bound)
+    rnd = random.Random(n)
+    cands = [(i, rnd.uniform(-90, 90) * spread, rnd.uniform(-180, 180) * spread, float(i)) for i in range(n)]
+    cands += [(n + i, c[1], c[2], -1.0) for i, c in enumerate(cands[:5])]
+    nulls = [(10**6, None, 75.0, 1.0), (10**6 + 1, 20.0, None, 1.0)]
+    pts = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(60)]
+    pts += [(100 + i, rnd.uniform(-1, 1), rnd.uniform(-1, 1)) for i in range(40)]
+    lost = [(1000, None, 1.0), (1001, 1.0, None), (1002, 95.0, 1.0)]
+    cdf = spark.createDataFrame(cands + nulls, "city_id long, latitude double, longitude double, aqi double")
+    pdf = spark.createDataFrame(pts + lost, "pid long, lat double, lon double")
+    got = {r.pid: (r.nearest_id, r.nearest_value) for r in RT.nearest(pdf, ["pid"], cdf, value="aqi").collect()}
+    best = {i: min(((_km(la, lo, c[1], c[2]), c[0], c[3]) for c in cands), default=(0, None, None)) for i, la, lo in pts}
+    assert got == {i: b[1:] for i, b in best.items()} | {i: (None, None) for i, _, _ in lost}
 
 
 def test_classify_first_wins_ties(spark):

@@ -106,3 +106,13 @@ def test_direction_label(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 10.0, 2.0, 5.0)], "a double, b double, c double, d double, e double, f double")
     assert df.select(G.direction_label("a", "b", "c", "d", "e", "f")).first()[0] == "Northern Route"
     assert not math.isnan(0.0)
+
+
+def test_india_aqi_rounds_like_python_next_to_a_tie(spark):
+    """1.25 * 21.08 is 26.349999999999998 in binary: one decimal gives 26.3."""
+    cols = ["pm2_5_ugm3", "pm10_ugm3", "no2_ugm3", "so2_ugm3", "o3_ugm3", "co_ugm3"]
+    x = [21.08, 21.24, 48.03, 7.5]
+    df = spark.createDataFrame([(None, None, v, None, None, None) for v in x], ", ".join(f"{c} double" for c in cols))
+    got = [r[0] for r in df.select(A.india_aqi()).collect()]
+    want = [round(50 / 40 * v, 1) if v <= 40 else round((100 - 51) / (80 - 40) * (v - 40) + 51, 1) for v in x]
+    assert got == want and got[0] == 26.3
