@@ -18,8 +18,11 @@ of an item's weighted vocabulary, and one threshold serves all items.
   The other blocks are scored in full. Retrieval is therefore complete.
 * Windows are scored in batches: the lists of all windows of a batch are merged
   by one sort per batch instead of one cursor move at a time.
-* A retrieved pair is verified on word n-grams: question (all sentences but the
-  last) and answer (the last sentence) must both be covered by the window.
+* A retrieved pair is verified in one of three ways: question (all sentences but
+  the last) and answer (the last sentence) are both covered by the window's word
+  n-grams; or half of the whole item's n-grams are; or the item's words stand in
+  order, most of them, in a stretch of about the item's length. The last two keep
+  edited and truncated passages; an edited word breaks three n-grams.
 
 The index is built per block of ``items_per_index`` items, which bounds what is
 broadcast; a larger benchmark takes several passes over the documents.
@@ -42,6 +45,10 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Least share of the n-grams of question and of answer in the window.
 OVERLAP = 0.8
+#: Or the least share of the whole item's n-grams in the window.
+COVER = 0.5
+#: Or the least share of the item's words that stand in order in one stretch.
+ALIGNED = 0.6
 NGRAM = 3
 ITEMS_PER_BLOCK = 8
 #: Terms in more than this share of the items are non-essential.
@@ -84,6 +91,32 @@ def covered(part: list[str], window: list[str]) -> float:
     return len(want & have) / len(want)
 
 
+def in_order(item: list[str], window: list[str]) -> int:
+    """Length of the longest common subsequence of words, by bit-parallel rows."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(item):
+        at[w] = at.get(w, 0) | 1 << i
+    full = left = (1 << len(item)) - 1
+    for w in window:
+        if m := at.get(w):
+            left = ((left + (left & m)) | (left & ~m)) & full
+    return len(item) - left.bit_count()
+
+
+def aligned(item: list[str], window: list[str]) -> float:
+    """Share of the item's words in order in the best stretch of the window.
+    Stretches are half as long again as the item, so that up to a quarter of
+    added words fits and words scattered over the window don't count."""
+    n, step = len(item) + len(item) // 2, max(1, len(item) // 4)
+    last = max(0, len(window) - n)
+    return max(in_order(item, window[s:s + n]) for s in {*range(0, last, step), last}) / len(item)
+
+
+def holds(whole: list[str], window: list[str]) -> bool:
+    """Whether the window holds the whole item, edited or cut."""
+    return covered(whole, window) >= COVER or aligned(whole, window) >= ALIGNED
+
+
 class Terms(dict):
     """Term numbers; -1 for words that no item has."""
 
@@ -97,6 +130,7 @@ class Index:
 
     items: list                     # item ids by position, short items first
     parts: list                     # (question words, answer words) by position
+    words: list                     # all words of an item by position
     terms: Terms
     impacts: list                   # by term: (positions, normalised impacts)
     essential: np.ndarray           # by term: whether it generates candidates
@@ -148,7 +182,7 @@ def build_index(items: list[tuple], n_items: int, df: dict[str, int], mean_lengt
     np.maximum.at(rest, np.arange(len(rows)) // ITEMS_PER_BLOCK, left)
     longest = rows[-1][0]
     step = max(1, longest // 2)
-    return Index([r[1] for r in rows], [parts_of(r[2]) for r in rows], terms,
+    return Index([r[1] for r in rows], [parts_of(r[2]) for r in rows], [r[3] for r in rows], terms,
                  [(np.array([p for p, _ in q]), np.array([x for _, x in q])) for q in postings], essential,
                  np.array(start), np.array(blocks, np.int64), np.array(maxima), rest, longest + step, step)
 
@@ -222,7 +256,8 @@ def _search(index: Index, docs: list[list[str]], first: int, threshold: float, o
             s = (w - owner[d][0]) * index.step
             window = docs[d][s:s + index.window]
             q, r = (covered(p, window) for p in index.parts[item])
-            if q >= overlap and r >= overlap and (q + r, scores[i]) > found.get((d, item), ((-1, -1),))[0]:
+            if (q + r, scores[i]) > found.get((d, item), ((-1, -1),))[0] and (
+                    q >= overlap and r >= overlap or holds(index.words[item], window)):
                 found[d, item] = ((q + r, scores[i]), q, r)
     for (d, item), ((_, score), q, r) in sorted(found.items()):
         yield first + d, index.items[item], float(min(score, 1.0)), q, r
@@ -260,7 +295,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
           item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP,
           items_per_index: int = ITEMS_PER_INDEX) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap), one row per
-    contaminated row and leaked item.
+    contaminated row and leaked item. The overlaps are shares of n-grams; in an
+    edited or truncated passage either may be small.
 
     Null and empty texts hold nothing. Items without words and items with a
     null id are left out; several items with one id are each looked for. Rows

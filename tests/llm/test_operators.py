@@ -249,6 +249,47 @@ def test_decontamination(spark, sf, odd, empty):
     assert decontamination.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_edited_passages(spark, sf):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    words = {i: decontamination.words_of(t) for i, t in items.items()}
+    df = collections.Counter(t for w in words.values() for t in set(w))
+    mean = sum(map(len, words.values())) / len(words)
+    index = decontamination.build_index(list(items.items()), len(items), df, mean)
+    rng, cases = random.Random(7), []
+    for i, w in words.items():
+        def edited(places, w=w):
+            return [f"new{rng.random()}" if n in places else x for n, x in enumerate(w)]
+        cases += [(i, "one", edited({n})) for n in range(len(w))]
+        cases += [(i, "some", edited(rng.sample(range(len(w)), max(2, len(w) // 20)))) for _ in range(5)]
+        cases.append((i, "fourth", edited(range(3, len(w), 4))))
+        question, answer = decontamination.parts_of(items[i])
+        if question is not answer:
+            cases.append((i, "cut", question))
+        cases.append((i, "shuffled", rng.sample(w, len(w))))
+
+    def score(i, passage):
+        k, b = decontamination.K1, decontamination.B
+        norm = k * (1 - b + b * len(words[i]) / mean)
+        x = {t: np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (k + 1) / (n + norm) for t, n in collections.Counter(words[i]).items()}
+        return sum(v for t, v in x.items() if t in set(passage)) / sum(x.values())
+
+    texts = [" ".join(f"p{rng.random()}" for _ in range(rng.randrange(150))) + " " + " ".join(p) + " q r s" * rng.randrange(40) for _, _, p in cases]
+    found = {(d, i) for d, i, *_ in decontamination.search(index, texts)}
+    total, hit = collections.Counter(), collections.Counter()
+    for d, (i, kind, passage) in enumerate(cases):
+        g = decontamination.grams(words[i])
+        half = len(g & decontamination.grams(passage)) >= 0.5 * len(g)
+        if score(i, passage) >= decontamination.THRESHOLD + 1e-9 and (half or kind != "cut"):
+            total[kind] += 1
+            hit[kind] += (d, i) in found
+    assert all(total[k] > 0.8 * len(items) for k in ("one", "some", "fourth")) and total["cut"]
+    assert all(hit[k] == total[k] for k in ("one", "some", "fourth", "cut"))
+    assert hit["shuffled"] <= 0.05 * total["shuffled"]
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts[:300])], "doc_id long, text string")
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, table).collect()} == {x for x in found if x[0] < 300}
+
+
 def brute_near(rows, w, percent):
     def shingles(t):
         x = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
