@@ -2,9 +2,12 @@
 
 The driver tables are TPC-H-like; these views give them the shape of the
 air-quality model (cities, stations, hourly readings, health profiles,
-candidate routes, notices). Every view is a lazy Spark plan over the whole
-tables, so its work grows with them. The DuckDB text of the same views is
-in ``airlake.plans.oracle_views``.
+candidate routes, notices). Every view is a lazy Spark plan over the supplied
+tables. Stations are the first ``N_STATIONS`` cities, and ids of events and
+customers are folded onto them: the other nations don't reach the station
+joins, and the hourly facts stop growing at ``N_STATIONS`` times the hours of
+the events. The DuckDB text of the same views is in
+``airlake.plans.oracle_views``.
 """
 
 from __future__ import annotations
