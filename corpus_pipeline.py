@@ -39,14 +39,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near duplicates (five
-    words, similarity 0.8). Texts without words and rows without doc_id stay;
-    rows that repeat a doc_id share its fate."""
+    """Keeps one row of each component of near duplicates (five words,
+    similarity 0.8), the one with the smallest doc_id, null ids last. Texts
+    without words stay. Where a doc_id is null or repeated, the texts are
+    compared under a hash of their own, so no text goes with another one of
+    its id."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not ids.filter("n > 1 or doc_id is null").isEmpty():
+        return _one_row_each(docs)
     dropped = saved(near_dedup.near_components(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
     few = dropped.count() <= BROADCAST_KEYS
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` by text hash instead of doc_id."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("__nd", F.shiftrightunsigned(F.xxhash64(text), 1))
+    of = (near_dedup.near_components(rows, key="__nd").filter("n_shingles > 0")
+          .groupBy("__nd", F.col("component_id").alias("__of")).agg(F.count(F.lit(1)).alias("n")))
+    of = saved(of, "near-texts")
+    several = of.groupBy("__of").agg(F.sum("n").alias("n")).filter("n > 1").select("__of")
+    several = saved(of.join(several, "__of").select("__nd", "__of"), "near-several")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__nd", F.xxhash64(*docs.columns))
+    met = rows.join(several, "__nd").withColumn("__place", place)
+    first = met.groupBy(F.col("__of").alias("__one")).agg(F.min("__place").alias("__first"))
+    kept = (met.join(first, (F.col("__of") == F.col("__one")) & F.col("__place").eqNullSafe(F.col("__first")))
+            .dropDuplicates(["__of"]))
+    return rows.join(several, "__nd", "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item; null and empty texts stay."""
     return decontamination.clean_rows(docs, load(spark, sf_dir, "benchmark"))

@@ -34,6 +34,18 @@ def test_odd_rows_and_empty(spark, sf):
             assert docs.count() <= 2 * len(ODD)
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    words = [[f"{x}{n}" for n in range(60)] for x in "abcde"]
+    a, b, c, d, e = (" ".join(w) for w in words)
+    near_a, near_b = (" ".join([*w[:-1], "other"]) for w in words[:2])
+    rows = [(3, b), (5, a), (5, b), (None, b), (8, near_b), (7, d), (7, d), (None, e), (None, e), (9, ""), (9, None), (2, near_a), (6, c), (5, c)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, None, None, None) for i, t in rows], SCHEMA)
+    got = cp.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(3, b), (2, near_a), (7, d), (None, e), (9, ""), (9, None), (5, c)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_run(spark, sf):
     rows = cp.run(spark, sf).collect()
     assert rows and {r.law for r in rows} == {"key"}
