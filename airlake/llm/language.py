@@ -8,7 +8,8 @@ flagged ambiguous when the two best codewords are close, or when more bits
 differ from the best codeword than the code can correct.
 
 The fit uses a bounded sample of labelled rows, ``max_train`` in all and the
-same number per language, picked by a hash of the key. Executors turn the
+same number per language, at least one, picked by a hash of the key. Every
+label is learned. Executors turn the
 sample into n-gram profiles; the driver sees those alone. Prediction reads
 every whole text, in pieces, so a long text needs no more memory than a short
 one.
@@ -26,8 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN = 2_000
-#: Labels taken into the code, the commonest first.
-MAX_LANGUAGES = 128
 FEATURES = 1 << 12
 NGRAMS = (1, 2, 3)
 PIECE = 1 << 20
@@ -36,13 +35,28 @@ EXHAUSTIVE = 6
 ROUNDS, RATE, DECAY = 300, 4.0, 1e-4
 #: Least distance of the two best codewords' losses, per code position.
 MARGIN = 0.05
+#: Rows x languages x bits that are decoded at once.
+CELLS = 1 << 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark's regular expressions.
+ANY_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 _BYTES = np.arange(256, dtype=np.uint8)
 _BYTES[:128] = [b if chr(b).isalpha() else 32 for b in range(128)]
 
 
+def closest(code: np.ndarray) -> int:
+    """The largest inner product of two codewords, block by block. Sums of +1
+    and -1 are exact in float32."""
+    c, most = code.astype(np.float32), -code.shape[1]
+    for lo in range(0, len(c), 512):
+        gram = c[lo:lo + 512] @ c.T
+        gram[np.arange(len(gram)), lo + np.arange(len(gram))] = -np.inf
+        most = max(most, int(gram.max()))
+    return most
+
+
 def code_matrix(languages: int, seed: int = 7) -> np.ndarray:
     """Codewords as rows of +1 and -1. Few languages get the exhaustive code
     (each split of the languages in two once); more get the random code with
@@ -57,8 +71,7 @@ def code_matrix(languages: int, seed: int = 7) -> np.ndarray:
     for _ in range(50):
         m = rng.choice(np.array([1, -1], np.int8), (languages, bits))
         m = m[:, np.abs(m.sum(0, dtype=int)) < languages]
-        gram = m.astype(int) @ m.T.astype(int)
-        least = int((m.shape[1] - gram[~np.eye(languages, dtype=bool)].max()) // 2)
+        least = (m.shape[1] - closest(m)) // 2
         if least > apart:
             best, apart = m, least
     return best
@@ -95,12 +108,13 @@ class Model:
     def corrects(self) -> int:
         if len(self.languages) < 2:
             return 0
-        gram = self.code.astype(int) @ self.code.T.astype(int)
-        return int((self.code.shape[1] - gram[~np.eye(len(gram), dtype=bool)].max()) // 2 - 1) // 2
+        return ((self.code.shape[1] - closest(self.code)) // 2 - 1) // 2
 
     def decode(self, margins: np.ndarray):
         """Best language index, confidence, ambiguity of each row of margins."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
+        some = max(1, CELLS // self.code.size)
+        loss = np.concatenate([np.logaddexp(0, -margins[lo:lo + some, None, :] * self.code[None]) @ self.trust
+                               for lo in range(0, len(margins), some)])
         best = loss.argmin(1)
         soft = np.exp(-(loss - loss.min(1, keepdims=True)))
         score = soft.max(1) / soft.sum(1)
@@ -116,7 +130,8 @@ def fit(profiles: np.ndarray, labels: list[str]) -> Model:
     descent with momentum; each language weighs the same."""
     names = sorted(set(labels))
     code = code_matrix(len(names))
-    y = np.array([names.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(names)}
+    y = np.array([number[x] for x in labels])
     if len(names) < 2:
         return Model(names, code, np.zeros((profiles.shape[1], code.shape[1]), np.float32),
                      np.ones(code.shape[1], np.float32), np.ones(code.shape[1], np.float32))
@@ -137,18 +152,18 @@ def fit(profiles: np.ndarray, labels: list[str]) -> Model:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang",
           max_train: int = MAX_TRAIN, features: int = FEATURES) -> Model:
     """Fits on at most about ``max_train`` rows (per language ``max_train``
-    over the number of languages; a language with fewer rows gives all).
-    Rows without label, text or letters are left out. No rows: a model
-    without languages."""
+    over the number of languages; a language with fewer rows gives all, and
+    each gives one at least). Rows without label, text or letters are left
+    out. No rows: a model without languages."""
     rows = labelled.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t"),
                            F.col(label).cast("string").alias("l")).filter("l is not null and t is not null")
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()}
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return fit(np.zeros((0, len(NGRAMS) * features), np.float32), [])
     each, out_of = max(1, max_train // len(counts)), 1 << 30
-    rate = F.create_map(*[F.lit(x) for kv in counts.items() for x in (kv[0], min(1.0, each / kv[1]) * out_of)])
+    rates = labelled.sparkSession.createDataFrame([(l, min(1.0, each / n) * out_of) for l, n in sorted(counts.items())], "l string, rate double")
     place = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(11)), F.lit(out_of))
-    rows = rows.filter(place < F.coalesce(rate[F.col("l")], F.lit(0.0)))
+    few = rows.join(F.broadcast(rates), "l").filter(place < F.col("rate")).select("k", "t", "l")
 
     def profiles(batches):
         for batch in batches:
@@ -156,7 +171,15 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
             yield pd.DataFrame({"l": batch["l"], "p": [profile(t, features).astype(np.float16).tobytes() for t in batch["t"]],
                                 "k": batch["k"]})
 
-    got = sorted((r["l"], r["k"] or "", bytes(r["p"])) for r in rows.mapInPandas(profiles, "l string, p binary, k string").collect())
+    def taken(sample: DataFrame) -> list[tuple]:
+        return [(r["l"], r["k"] or "", bytes(r["p"])) for r in sample.mapInPandas(profiles, "l string, p binary, k string").collect()]
+
+    got = taken(few)
+    if missed := sorted(set(counts) - {g[0] for g in got}):
+        names = labelled.sparkSession.createDataFrame([(l,) for l in missed], "l string")
+        got += taken(rows.join(F.broadcast(names), "l").filter(F.col("t").rlike(ANY_LETTER))
+                     .groupBy("l").agg(F.min(F.struct(place.alias("at"), "k", "t")).alias("x")).select("x.k", "x.t", "l"))
+    got.sort()
     if not got:
         return fit(np.zeros((0, len(NGRAMS) * features), np.float32), [])
     return fit(np.stack([np.frombuffer(p, np.float16) for _, _, p in got]).astype(np.float32), [g[0] for g in got])

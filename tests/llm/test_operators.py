@@ -359,6 +359,23 @@ def test_language(spark, odd, empty):
     assert language.train(empty).languages == []
 
 
+def test_every_label_is_learned(spark):
+    r = random.Random(3)
+    names = [f"l{n:03d}" for n in range(140)]
+    words = {n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for n in names}
+    rows = [(i, " ".join(r.choices(words[n], k=40)), n) for i, n in enumerate(names * 3)] + [(9999, "12 34", "digits")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (language.MAX_TRAIN, 50):
+        assert language.train(docs, max_train=most).languages == names
+    model = language.train(docs)
+    got = docs.select("lang", language.predict(model, F.col("text")).alias("p")).filter("lang <> 'digits'").collect()
+    assert sum(x.lang == x.p.lang for x in got) >= 0.95 * len(got)
+    for n in (2, 5, 30, 600):
+        code = language.code_matrix(n).astype(int)
+        gram = code @ code.T
+        assert language.closest(code) == gram[~np.eye(n, dtype=bool)].max()
+
+
 def test_sharding(spark, sf, odd, empty):
     keys = sharding.spread(np.arange(20000).astype(np.uint64))
     for n in (1, 2, 10, 40):
