@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from . import decontamination, exact_dedup, language, mixing, near_dedup, pii, records, sharding, suffix_dedup, url_filter
+from . import (bpe, decontamination, exact_dedup, fim, language, mixing, near_dedup, pii, records, search, sharding, suffix_dedup,
+               url_filter)
 from .common import documents
 from .mixing import P
 
@@ -238,11 +239,77 @@ def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), SHARDS)
 
 
+# -- op11 ------------------------------------------------------------------
+
+def op11_sparse_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(documents(spark, sf_dir))
+
+    def digest(c):
+        return F.sha2(c.cast("binary"), 256)
+
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+d AS (SELECT doc_id, text, u, len(u) AS n,
+             CAST('0x' || substr(x, 1, 8) AS BIGINT) % (len(u) + 1) AS i, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (len(u) + 1) AS j,
+             CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS r, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS s FROM h),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r >= 90 THEN 'plain'
+                     WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(u[1:least(i, j)], '') AS p, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m,
+             array_to_string(u[greatest(i, j) + 1:], '') AS q FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m
+                        ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || q) AS restored_sha256
+FROM f"""
+
+
+# -- op12 ------------------------------------------------------------------
+
+def op12_geometric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+lengths AS (SELECT doc_id, len(t)::BIGINT AS n FROM found WHERE len(t) > 0),
+totals AS (SELECT count(*)::BIGINT AS c, sum(n)::BIGINT AS l FROM lengths),
+tfs AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(t) AS t FROM found) GROUP BY doc_id, t),
+asked AS (
+  SELECT item_id, t, count(*)::BIGINT AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln((2 * any_value(c) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY t),
+scored AS (
+  SELECT a.item_id, f.doc_id,
+         sum(a.k * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (25 + (75 * n.n * totals.c) // totals.l))))::BIGINT AS score
+  FROM asked a JOIN tfs f USING (t) JOIN weights w USING (t) JOIN lengths n ON n.doc_id = f.doc_id, totals
+  GROUP BY a.item_id, f.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
+# -- op13 ------------------------------------------------------------------
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
     "op2_suffix_dedup": op2_suffix_dedup, "op3_url_lists": op3_url_lists, "op4_exact_dedup": op4_exact_dedup, "op5_curriculum_mix": op5_curriculum_mix,
     "op6_token_records": op6_token_records, "op7_benchmark_bm25": op7_benchmark_bm25,
     "op8_hamming_minhash": op8_hamming_minhash, "op9_language_ecoc": op9_language_ecoc, "op10_jump_shards": op10_jump_shards,
+    "op11_sparse_fim": op11_sparse_fim, "op12_geometric_search": op12_geometric_search, "op13_piece_bpe": op13_piece_bpe,
 }
 ORACLE = {"op3_url_lists": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_curriculum_mix": OP5_SQL,
-          "op8_hamming_minhash": OP8_SQL}
+          "op8_hamming_minhash": OP8_SQL, "op11_sparse_fim": OP11_SQL, "op12_geometric_search": OP12_SQL}
