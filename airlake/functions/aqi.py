@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .stats import round_sql
 
 
 def _col(c) -> Column:
@@ -74,7 +75,7 @@ def india_aqi_sql(prefix: str = "") -> str:
         if div != 1.0:
             x = f"(CAST({x} AS DOUBLE) / {_lit(div)})"
         subs.append(sub_index_sql(x, bands))
-    return f"round(greatest({', '.join(subs)}), 1)"
+    return round_sql(f"greatest({', '.join(subs)})", 1)
 
 
 # -- ENR-4 legacy India AQI --------------------------------------------------
@@ -112,7 +113,7 @@ def india_aqi_legacy() -> Column:
 
 def india_aqi_legacy_sql(prefix: str = "") -> str:
     subs = [legacy_sub_index_sql(f"{prefix}{c}", b) for c, b in _LEGACY_INPUTS]
-    return f"round(greatest({', '.join(subs)}), 1)"
+    return round_sql(f"greatest({', '.join(subs)})", 1)
 
 
 # -- categories (ENR-5, 6, 8, 9) ---------------------------------------------

@@ -33,3 +33,10 @@ def exact_sum_sql(c: str, scale: int = 1, cond: str | None = None) -> str:
 def exact_avg_sql(c: str, scale: int = 1, cond: str | None = None) -> str:
     x = f"CASE WHEN {cond} THEN {c} END" if cond else c
     return f"({exact_sum_sql(c, scale, cond)} / COUNT({x}))"
+
+
+def round_sql(x: str, n: int) -> str:
+    """DuckDB text of Spark's ``round`` of a double: half up on the shortest
+    decimal that stands for it. DuckDB's own ``round`` scales first, so that
+    26.349999999999998 becomes 26.4 there."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {n}) AS DOUBLE)"

@@ -9,7 +9,7 @@ which never back-fills a lagging station).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aqi as A
@@ -88,6 +88,13 @@ def union_cities(*dfs: DataFrame) -> DataFrame:
     return out
 
 
+def read_city_frames(spark: SparkSession, path: str, key: str = "city") -> DataFrame:
+    """MRG-7 over landed frames, one folder ``<key>=<value>`` per city: one scan
+    of all of them, columns matched by name, missing ones NULL."""
+    return (spark.read.option("mergeSchema", True).parquet(path)
+            .withColumn(key, F.col(key).cast("long") if key.endswith("_id") else F.col(key).cast("string")))
+
+
 def canonical_columns(df: DataFrame) -> DataFrame:
     """MRG-8: the wide CSV column order; missing columns skipped."""
     return df.select(*[c for c in K.CANONICAL_COLUMNS if c in df.columns])

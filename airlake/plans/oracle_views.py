@@ -27,7 +27,7 @@ VIEWS["cities"] = """
 SELECT n_nationkey AS city_id, lower(n_name) AS name, lower(r_name) AS state,
        8.0::DOUBLE + (n_nationkey * 7) % 25 AS latitude,
        70.0::DOUBLE + (n_nationkey * 11) % 25 AS longitude,
-       n_nationkey < 5 AS is_active
+       true AS is_active
 FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 VIEWS["stations"] = """
@@ -35,17 +35,17 @@ SELECT CAST(city_id AS BIGINT) AS station_id, city_id,
        upper(name) || '_CSV' AS station_code,
        upper(substr(name, 1, 1)) || lower(substr(name, 2)) || ' (CSV Aggregate)' AS station_name,
        latitude, longitude, 'csv' AS data_source, true AS is_active
-FROM cities WHERE city_id < 5"""
+FROM cities"""
 
 VIEWS["measurements"] = """
-SELECT event_id AS measurement_id, user_id % 5 AS station_id, ts,
+SELECT event_id AS measurement_id, user_id % (SELECT count(*) FROM nation) AS station_id, ts,
        CASE event_type WHEN 'click' THEN 'pm2_5' WHEN 'view' THEN 'pm10'
             WHEN 'signup' THEN 'no2' WHEN 'purchase' THEN 'so2' ELSE 'o3' END AS pollutant,
        value
 FROM events"""
 
 VIEWS["readings"] = f"""
-SELECT user_id % 5 AS station_id, date_trunc('hour', ts) AS datetime,
+SELECT user_id % (SELECT count(*) FROM nation) AS station_id, date_trunc('hour', ts) AS datetime,
        {davg("event_type = 'click'")} AS pm2_5_ugm3,
        {davg("event_type = 'view'")} AS pm10_ugm3,
        {davg("event_type = 'signup'")} AS no2_ugm3,
@@ -70,7 +70,7 @@ SELECT c_custkey AS user_id,
        ['resting', 'light', 'moderate', 'intense'][(c_custkey + c_nationkey) % 4 + 1] AS activity_level,
        (c_custkey % 48) / 2.0::DOUBLE AS exposure_hours,
        CAST((c_custkey % 30) * 10 AS INTEGER) AS aqi_threshold,
-       CAST(c_nationkey % 5 AS INTEGER) AS home_city_id
+       CAST(c_nationkey AS INTEGER) AS home_city_id
 FROM customer"""
 
 VIEWS["route_candidates"] = """
@@ -98,7 +98,7 @@ FROM (SELECT *, 20 + (route_idx * 17) % 60 AS n FROM route_ends) r,
      LATERAL (SELECT unnest(generate_series(0, r.n)) AS i) g"""
 
 VIEWS["notices"] = """
-SELECT event_id AS notice_id, user_id, CAST(user_id % 5 AS INTEGER) AS city_id,
+SELECT event_id AS notice_id, user_id, CAST(user_id % (SELECT count(*) FROM nation) AS INTEGER) AS city_id,
        CASE WHEN event_id % 4 IN (2, 3) THEN event_id END AS route_id,
        ['aqi_threshold', 'forecast_alert', 'route_saved', 'route_monitor'][event_id % 4 + 1]
          AS notification_type,

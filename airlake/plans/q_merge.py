@@ -92,9 +92,11 @@ def mrg_time_window_filter(spark, sf):
 
 @register("mrg_union_cities", "SELECT station_id, datetime, pm2_5_ugm3 FROM readings")
 def mrg_union_cities(spark, sf):
-    r = X.readings(spark, sf).select("station_id", "datetime", "pm2_5_ugm3")
-    parts = [r.filter(F.col("station_id") == s) for s in range(X.N_STATIONS)]
-    return M.union_cities(*parts)
+    """The per-city frames of a landed folder, written in one pass and read as
+    one frame by column name: the number of scans doesn't follow the cities."""
+    path = landed.scratch(spark, "city-frames")
+    X.readings(spark, sf).select("station_id", "datetime", "pm2_5_ugm3").write.partitionBy("station_id").parquet(path)
+    return M.union_cities(M.read_city_frames(spark, path, "station_id")).select("station_id", "datetime", "pm2_5_ugm3")
 
 
 @register("mrg_canonical_columns", f"SELECT {', '.join(c for c in K.CANONICAL_COLUMNS if c not in ('dew_point_c', 'wind_gusts_kmh', 'pressure_msl_hpa', 'cloud_cover_percent', 'dust_ugm3', 'aod'))} FROM facts")

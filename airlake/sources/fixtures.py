@@ -3,23 +3,21 @@
 The driver tables are TPC-H-like; these views give them the shape of the
 air-quality model (cities, stations, hourly readings, health profiles,
 candidate routes, notices). Every view is a lazy Spark plan over the supplied
-tables. Stations are the first ``N_STATIONS`` cities, and ids of events and
-customers are folded onto them: the other nations don't reach the station
-joins, and the hourly facts stop growing at ``N_STATIONS`` times the hours of
-the events. The DuckDB text of the same views is in
+tables. Every nation is a city with one station; customers live in their own
+nation, and the users of the events are dealt over the stations, as many as
+the nation table has. The DuckDB text of the same views is in
 ``airlake.plans.oracle_views``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import hour_floor
 from .tables import load
 
-N_STATIONS = 5
 SENSITIVITY_BY_MOD4 = ["low", "moderate", "high", "very_high"]
 ACTIVITY_BY_MOD4 = ["resting", "light", "moderate", "intense"]
 NOTICE_TYPE_BY_MOD4 = ["aqi_threshold", "forecast_alert", "route_saved", "route_monitor"]
@@ -27,6 +25,16 @@ POLLUTANT_BY_EVENT = [("click", "pm2_5"), ("view", "pm10"), ("signup", "no2"),
                       ("purchase", "so2"), ("error", "o3")]
 
 
+def station_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Scalar subquery: stations are numbered from 0 to this, less one."""
+    return load(spark, sf_dir, "nation").agg(F.count(F.lit(1))).scalar()
+
+
+def station_of(spark: SparkSession, sf_dir: str, user="user_id") -> Column:
+    """The station that a user of the events is near."""
+    return F.col(user) % station_count(spark, sf_dir)
+
+
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "nation")
     r = load(spark, sf_dir, "region")
@@ -37,11 +45,11 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lower("r_name").alias("state"),
                     (F.lit(8.0) + (k * 7) % 25).alias("latitude"),
                     (F.lit(70.0) + (k * 11) % 25).alias("longitude"),
-                    (k < N_STATIONS).alias("is_active")))
+                    F.lit(True).alias("is_active")))
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cities(spark, sf_dir).filter(F.col("city_id") < N_STATIONS)
+    c = cities(spark, sf_dir)
     return c.select(F.col("city_id").cast("long").alias("station_id"),
                     "city_id",
                     F.concat(F.upper("name"), F.lit("_CSV")).alias("station_code"),
@@ -58,11 +66,11 @@ def _pollutant_of(event_type) -> F.Column:
     return expr.otherwise(F.lit(POLLUTANT_BY_EVENT[-1][1]))
 
 
-def measurements(spark: SparkSession, sf_dir: str, n_stations: int = N_STATIONS) -> DataFrame:
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long sub-hourly sensor readings: one row per event."""
     e = load(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("measurement_id"),
-                    (F.col("user_id") % n_stations).alias("station_id"),
+                    station_of(spark, sf_dir).alias("station_id"),
                     F.col("ts"),
                     _pollutant_of(F.col("event_type")).alias("pollutant"),
                     F.col("value"))
@@ -74,12 +82,12 @@ def _davg(cond) -> F.Column:
     return s / F.count(F.when(cond, F.lit(1)))
 
 
-def readings(spark: SparkSession, sf_dir: str, n_stations: int = N_STATIONS) -> DataFrame:
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly fact rows per (station, hour) from the event stream."""
     e = load(spark, sf_dir, "events")
     et = F.col("event_type")
     mx = F.max("event_id")
-    return (e.groupBy((F.col("user_id") % n_stations).alias("station_id"),
+    return (e.groupBy(station_of(spark, sf_dir).alias("station_id"),
                       hour_floor("ts").alias("datetime"))
             .agg(_davg(et == "click").alias("pm2_5_ugm3"),
                  _davg(et == "view").alias("pm10_ugm3"),
@@ -113,7 +121,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(act, ((k + F.col("c_nationkey")) % 4 + 1).cast("int")).alias("activity_level"),
         ((k % 48) / 2.0).alias("exposure_hours"),
         ((k % 30) * 10).cast("int").alias("aqi_threshold"),
-        (F.col("c_nationkey") % N_STATIONS).cast("int").alias("home_city_id"),
+        F.col("c_nationkey").cast("int").alias("home_city_id"),
     )
 
 
@@ -193,7 +201,7 @@ def waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "request_id", "route_idx", "pos", F.col("pt.lat").alias("lat"), F.col("pt.lon").alias("lon"))
 
 
-def notices(spark: SparkSession, sf_dir: str, n_stations: int = N_STATIONS) -> DataFrame:
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     types = F.array(*[F.lit(t) for t in NOTICE_TYPE_BY_MOD4])
     ntype = F.element_at(types, (F.col("event_id") % 4 + 1).cast("int"))
@@ -202,7 +210,7 @@ def notices(spark: SparkSession, sf_dir: str, n_stations: int = N_STATIONS) -> D
     return e.select(
         F.col("event_id").alias("notice_id"),
         F.col("user_id"),
-        (F.col("user_id") % n_stations).cast("int").alias("city_id"),
+        station_of(spark, sf_dir).cast("int").alias("city_id"),
         F.when(ntype.isin("route_saved", "route_monitor"), F.col("event_id")).alias("route_id"),
         ntype.alias("notification_type"),
         F.col("value").alias("aqi_value"),
