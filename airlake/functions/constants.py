@@ -233,3 +233,13 @@ AQI_ADVISORY = [
 ]
 SEARCH_SUGGESTIONS = 8
 CHART_AXIS_FLOOR = 200
+
+# FIXED VALUES - boosted trees of the hourly model
+BOOST_ROUNDS = 1000
+BOOST_DEPTH = 7
+BOOST_RATE = 0.03
+BOOST_SUBSAMPLE = 0.8
+BOOST_COLUMNS = 0.75
+BOOST_LEAF_ROWS = 3
+BOOST_SPLIT_GAIN = 0.1
+BOOST_SEED = 42

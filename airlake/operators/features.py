@@ -44,10 +44,31 @@ ROLLING_NAMES = {24: "rolling_24h", 72: "rolling_3d", 168: "rolling_7d", 336: "r
 TARGET = "india_aqi"
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without NULL in any of ``columns``. One condition per column, as a
+    condition over all of them (``dropna``) has the optimizer try every
+    combination of columns and their later aliases."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def series_window(key: str = "city", ts: str = "datetime"):
     return W.partitionBy(key).orderBy(ts)
 
 
+def hourly_series(facts: DataFrame, key: str = "city", ts: str = "datetime", target: str = TARGET) -> DataFrame:
+    """Model input: one row per hour of each city's period: hours without a row, and NULL
+    targets, take the last known values. A city's series is bounded by the
+    hours of the period."""
+    span = facts.groupBy(key).agg(F.min(ts).alias("_a"), F.max(ts).alias("_z"))
+    spine = span.select(key, F.explode(F.sequence("_a", "_z", F.expr("INTERVAL 1 HOUR"))).alias(ts))
+    w = W.partitionBy(key).orderBy(ts).rowsBetween(W.unboundedPreceding, 0)
+    j = spine.join(facts, [key, ts], "left")
+    return j.select(key, ts, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in facts.columns if c not in (key, ts)]
+                    ).filter(F.col(target).isNotNull())
+
+
 def time_features(df: DataFrame, ts: str = "datetime") -> DataFrame:
     """FEA-1: hour, weekday (Mon=0), month, day of year, ISO week,
     weekend 0/1, season code."""
@@ -66,26 +87,31 @@ def lags(df: DataFrame, lag_hours=tuple(K.LAG_HOURS), key: str = "city", ts: str
     return df.withColumns({f"lag_{n}h": F.lag(target, n).over(w) for n in lag_hours})
 
 
-def _frame(n: int, key: str, ts: str):
-    return series_window(key, ts).rowsBetween(-n, -1)
+def _rolling(value: Column, n: int, key: str, ts: str) -> Column:
+    """Sum over the previous n rows, as the difference of two running sums:
+    both frames only grow, so a series takes linear time whatever n is. The
+    values must add up exactly (counts, decimals)."""
+    w = series_window(key, ts)
+    until = F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum(value).over(w.rowsBetween(W.unboundedPreceding, -n - 1))
+    return until - F.coalesce(before, F.lit(0))
 
 
 def rolling_mean(target: str, n: int, min_n: int, key: str, ts: str, scale: int = 1) -> Column:
     """Mean of the previous n rows (current row excluded); NULL when fewer
     than ``min_n`` non-null values."""
-    f = _frame(n, key, ts)
-    cnt = F.count(target).over(f)
-    s = F.sum(F.col(target).cast(f"decimal(18,{scale})")).over(f).cast("double")
+    x = F.coalesce(F.col(target).cast(f"decimal(18,{scale})"), F.lit(0).cast(f"decimal(18,{scale})"))
+    cnt = _rolling(F.col(target).isNotNull().cast("long"), n, key, ts)
+    s = _rolling(x, n, key, ts).cast("double")
     return F.when(cnt >= min_n, s / cnt)
 
 
 def rolling_std(target: str, n: int, min_n: int, key: str, ts: str, scale: int = 1) -> Column:
     """Sample standard deviation over the same frame, from exact sums."""
-    f = _frame(n, key, ts)
-    x = F.col(target).cast(f"decimal(18,{scale})")
-    cnt = F.count(target).over(f)
-    s = F.sum(x).over(f)
-    ss = F.sum(x * x).over(f)
+    x = F.coalesce(F.col(target).cast(f"decimal(18,{scale})"), F.lit(0).cast(f"decimal(18,{scale})"))
+    cnt = _rolling(F.col(target).isNotNull().cast("long"), n, key, ts)
+    s = _rolling(x, n, key, ts).cast(f"decimal(28,{scale})")
+    ss = _rolling(x * x, n, key, ts).cast(f"decimal(38,{2 * scale})")
     var = (cnt * ss - s * s).cast("double") / (cnt * (cnt - 1))
     return F.when((cnt >= min_n) & (cnt > 1), F.sqrt(var))
 
@@ -132,7 +158,7 @@ def feature_frame(df: DataFrame, key: str = "city", ts: str = "datetime") -> Dat
     f = time_features(f, ts).transform(lags, tuple(K.LAG_HOURS), key, ts).transform(
         rollings, tuple(K.ROLLING_MEAN_WINDOWS), tuple(K.ROLLING_STD_WINDOWS), key, ts)
     f = fill_weather(f, K.WEATHER_DEFAULTS, key, ts).transform(bool_features)
-    return f.dropna(subset=FEATURE_COLS + [TARGET])
+    return complete(f, FEATURE_COLS + [TARGET])
 
 
 def feature_frame_v1(df: DataFrame, key: str = "city", ts: str = "datetime",
@@ -147,7 +173,7 @@ def feature_frame_v1(df: DataFrame, key: str = "city", ts: str = "datetime",
         "rolling_7d_std": rolling_std(TARGET, 168, min_168, key, ts),
     })
     f = fill_weather(f, {"temperature_c": 0.0, "wind_speed_kmh": 0.0}, key, ts)
-    return f.dropna(subset=FEATURE_COLS_V1 + [TARGET])
+    return complete(f, FEATURE_COLS_V1 + [TARGET])
 
 
 def last_rows(df: DataFrame, n: int, key: str = "city", ts: str = "datetime") -> DataFrame:

@@ -1,17 +1,15 @@
-"""Per-city models (MOD-*) fitted from distributed sufficient statistics.
+"""Per-city linear models (MOD-*) fitted from distributed sufficient statistics.
 
 A linear (ridge) model needs only n, sum(x), sum(x x^T), sum(x y) and
-sum(y^2) per city. Those are one ``groupBy(city).agg`` of sums - partial
-aggregation, so a city holding a third of all rows is summed map-side in
-every task - and the tiny per-city systems (k x k, k = number of
-features) are then solved with numpy in ``applyInPandas`` over one row
-per city. No task ever holds a city's raw rows.
-
-The original trains boosted trees; no tree library is available here and
-a tree ensemble cannot be summed from statistics, so the hourly and daily
-models are ridge regressions on the same features (hourly) and on trend +
-Fourier seasonality (daily). Metrics (MAE, RMSE) are computed exactly the
-same way.
+sum(y^2) per city. Each task multiplies its batches and adds up what it has of
+a city, so a city holding a third of all rows is summed where its rows are, and
+the small per-city systems (k x k, k = number of features) are then solved with
+numpy over one row per city. No task ever holds a city's raw rows.
+
+Boosted trees, the original's hourly model, are in ``boosted``. The ridge model
+on the same features serves the recursive forecast, and the daily model is a
+ridge regression on trend + Fourier seasonality. Metrics (MAE, RMSE) are
+computed the same way for all.
 """
 
 from __future__ import annotations
@@ -38,52 +36,76 @@ def time_split(df: DataFrame, test_days: int = K.TEST_DAYS, key: str = "city",
     return j.withColumn("is_test", F.col(ts) > split).drop("_k", "_max")
 
 
-def _stats(df: DataFrame, features: list[str], target: str, key: str) -> DataFrame:
-    x = [F.col(f).cast("double") for f in features]
-    y = F.col(target).cast("double")
-    aggs = [F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    aggs += [F.sum(xi).alias(f"sx_{i}") for i, xi in enumerate(x)]
-    aggs += [F.sum(xi * y).alias(f"sxy_{i}") for i, xi in enumerate(x)]
-    aggs += [F.sum(x[i] * x[j]).alias(f"sxx_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    return df.groupBy(key).agg(*aggs)
+#: Keys whose sums a task holds before it passes them on.
+KEYS_HELD = 1_000
+
+
+def gram(df: DataFrame, features: list[str], target: str, key: str) -> DataFrame:
+    """key, i, v: per key the products of (1, features, target) with each other,
+    summed over its rows without NULLs; ``i`` counts along the upper triangle.
+
+    Each task multiplies whole Arrow batches and adds up what it has of a key;
+    only these sums are shuffled, as one row per key, product and task."""
+    k = len(features) + 2
+    up = np.triu_indices(k)
+    rows = df.select(key, *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
+                     F.col(target).cast("double").alias("y"))
+    key_type = df.schema[key].dataType.simpleString()
+
+    def products(batches):
+        held: dict = {}
+
+        def flushed():
+            got = pd.DataFrame({key: list(held), "g": [g[up] for g in held.values()]})
+            held.clear()
+            return got
+
+        for b in batches:
+            for value, part in b.dropna().groupby(key, sort=False):
+                z = np.column_stack([np.ones(len(part)), part.drop(columns=key).to_numpy(np.float64)])
+                held[value] = held.get(value, 0.0) + z.T @ z
+                if len(held) >= KEYS_HELD:
+                    yield flushed()
+        if held:
+            yield flushed()
+
+    parts = rows.mapInPandas(products, f"`{key}` {key_type}, g array<double>")
+    return parts.select(key, F.posexplode("g").alias("i", "v")).groupBy(key, "i").agg(F.sum("v").alias("v"))
 
 
 def fit_ridge(df: DataFrame, features: list[str], target: str, key: str = "city",
               l2: float = 1e-3, min_rows: int = K.MIN_TRAIN_ROWS) -> DataFrame:
     """MOD-2 (ridge form): per key coefficients; keys with fewer than
-    ``min_rows`` rows are skipped. Returns key, n, intercept, coef_<f>."""
+    ``min_rows`` rows are skipped. Returns key, n, intercept, coef_<f>, mean_<f>."""
     k = len(features)
-    stats = _stats(df, features, target, key).filter(F.col("n") >= min_rows)
+    up = np.triu_indices(k + 2)
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("n", T.LongType()),
                            T.StructField("intercept", T.DoubleType())]
                           + [T.StructField(f"coef_{f}", T.DoubleType()) for f in features]
                           + [T.StructField(f"mean_{f}", T.DoubleType()) for f in features])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            n = float(r["n"])
-            sx = np.array([r[f"sx_{i}"] for i in range(k)])
-            sxx = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    sxx[i, j] = sxx[j, i] = r[f"sxx_{i}_{j}"]
-            sxy = np.array([r[f"sxy_{i}"] for i in range(k)])
-            mx, my = sx / n, r["sy"] / n
-            cov = sxx / n - np.outer(mx, mx)
-            cxy = sxy / n - mx * my
-            # what is left of a constant column's variance is rounding: its coefficient is 0
-            flat = np.diag(cov) <= 1e-10 * np.maximum(np.diag(sxx) / n, 1e-12)
-            cov[flat, :] = cov[:, flat] = cxy[flat] = 0.0
-            scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, np.diag(cov))))
-            a = cov / np.outer(scale, scale) + l2 * np.eye(k)
-            beta = np.linalg.solve(a, cxy / scale) / scale
-            out.append([r[key], int(n), float(my - beta @ mx)] + [float(b) for b in beta]
-                       + [float(m) for m in mx])
-        return pd.DataFrame(out, columns=[s.name for s in schema])
-
-    return stats.groupBy(key).applyInPandas(solve, schema)
+    def solve(name: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros((k + 2, k + 2))
+        full[up] = sums.sort_values("i")["v"].to_numpy()
+        full += np.triu(full, 1).T
+        n = full[0, 0]
+        if n < min_rows:
+            return pd.DataFrame(columns=[s.name for s in schema])
+        mean = full[0] / n
+        mx, my = mean[1:-1], mean[-1]
+        cov = full[1:-1, 1:-1] / n - np.outer(mx, mx)
+        cxy = full[1:-1, -1] / n - mx * my
+        # what is left of a constant column's variance is rounding: its coefficient is 0
+        flat = np.diag(cov) <= 1e-10 * np.maximum(np.diag(full)[1:-1] / n, 1e-12)
+        cov[flat, :] = cov[:, flat] = cxy[flat] = 0.0
+        scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, np.diag(cov))))
+        beta = np.linalg.solve(cov / np.outer(scale, scale) + l2 * np.eye(k), cxy / scale) / scale
+        row = [name[0], int(n), float(my - beta @ mx), *beta.tolist(), *mx.tolist()]
+        return pd.DataFrame([row], columns=[s.name for s in schema])
+
+    # one group is the products of one key: their number follows the features alone
+    return gram(df, features, target, key).groupBy(key).applyInPandas(solve, schema)
 
 
 def predict(df: DataFrame, model: DataFrame, features: list[str], key: str = "city",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.enrich import add_derived
+from ..operators.features import hourly_series
 from ..sources import fixtures as X
 
 
@@ -18,6 +19,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_derived(r.join(s, "station_id").join(c, "city_id"))
 
 
+def hourly_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model input: the facts of every city as a gapless hourly series."""
+    return hourly_series(facts(spark, sf_dir))
+
+
 def as_of(df: DataFrame, ts: str = "datetime") -> Column:
     """Scalar subquery: newest timestamp of ``df``. Catalyst runs it once
     and folds it into the consuming filter; nothing passes the driver."""

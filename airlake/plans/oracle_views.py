@@ -138,6 +138,13 @@ SELECT *, {A.india_category_sql('india_aqi')} AS india_aqi_category,
 FROM facts0"""
 
 
+VIEWS["hourly"] = """
+SELECT s.city, s.datetime, last_value(f.india_aqi IGNORE NULLS) OVER (PARTITION BY s.city ORDER BY s.datetime
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS india_aqi
+FROM (SELECT city, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime
+      FROM facts GROUP BY city) s LEFT JOIN facts f ON f.city = s.city AND f.datetime = s.datetime"""
+
+
 def _deps(sql: str) -> list[str]:
     out = []
     for name in VIEWS:
