@@ -31,6 +31,36 @@ def sensor_map(measurements: DataFrame) -> DataFrame:
             .agg(F.max("measurement_id").alias("sensor_id")))
 
 
+# FIXED VALUES - parameters as the sensor service names them, and their columns
+SENSOR_COLUMNS = {"pm2.5": "pm2_5_ugm3", "pm10": "pm10_ugm3", "no2": "no2_ugm3",
+                  "so2": "so2_ugm3", "o3": "o3_ugm3", "co": "co_ugm3"}
+
+
+def city_sensors(cities: DataFrame, locations: DataFrame, max_km: float = 50.0) -> DataFrame:
+    """GEO-4: city, loc_id, loc_name, dist_km (1 decimal) and sensors (map from
+    fact column to sensor id) of the nearest location of every city.
+
+    ``locations`` has loc_id, loc_name, latitude, longitude and ``sensors``, a
+    list of (id, parameter). Locations without coordinates are not looked at;
+    of equally near ones the smallest id counts. Parameters are matched without
+    regard to case, and the last sensor of a parameter wins. Cities whose
+    nearest location is farther than ``max_km``, or has no wanted sensor, drop.
+    """
+    from .routes import nearest
+    points = cities.select(F.col("name").alias("city"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    near = nearest(points, ["city"], locations.filter("latitude is not null and longitude is not null"), "loc_id")
+    near = near.filter(F.col("nearest_km") <= max_km)
+
+    def last(name: str, column: str) -> Column:
+        ids = F.transform(F.filter("sensors", lambda s: F.lower(s["parameter"]) == name), lambda s: s["id"])
+        return F.when(F.size(ids) > 0, F.struct(F.lit(column).alias("key"), F.element_at(ids, -1).alias("value")))
+
+    found = F.map_from_entries(F.array_compact(F.array(*[last(n, c) for n, c in SENSOR_COLUMNS.items()])))
+    mapped = locations.filter(F.col("sensors").isNotNull()).select("loc_id", "loc_name", found.alias("sensors"))
+    return (near.join(mapped, near["nearest_id"] == mapped["loc_id"]).filter(F.size("sensors") > 0)
+            .select("city", "loc_id", "loc_name", F.round("nearest_km", 1).alias("dist_km"), "sensors"))
+
+
 def resample_hourly(long: DataFrame, spine: bool = False, scale: int = 2) -> DataFrame:
     """MRG-1: mean per station, hour and parameter, pivoted wide over the
     fixed parameter list (no extra job to discover values). With

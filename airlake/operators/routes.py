@@ -353,6 +353,70 @@ def dedupe_routes(routes: DataFrame, cap: int = DEDUPE_POOL_CAP,
     return kept.select(*cols)
 
 
+#: Synthetic candidates of a request up to which they are folded in one row; more take rounds.
+FOLD_CANDIDATES = 64
+#: Natural routes that make synthetic ones needless.
+ENOUGH_NATURAL = 3
+
+
+def route_pool(routes: DataFrame, cap: int = DEDUPE_POOL_CAP, cap_via: int = DEDUPE_POOL_CAP_WITH_VIA,
+               tol: float = K.ROUTE_SIMILAR_TOL) -> DataFrame:
+    """GEO-12: the routes of each request that go on, all columns, from rows
+    with ``kind`` (``natural``, ``synthetic`` or ``via``) in route_idx order.
+
+    * A request with a ``via`` route (the first one counts) keeps it and the
+      first natural routes that are not similar to it, ``cap_via`` in all. They
+      may be similar to one another.
+    * Otherwise all natural routes stay, similar or not. Where they are fewer
+      than ``ENOUGH_NATURAL``, synthetic ones join in order while the pool holds
+      fewer than ``cap``, unless similar to a route in it.
+
+    Similarity is relative to the joining route. Natural routes are judged where
+    they are; only the synthetic candidates of a request without enough natural
+    routes are folded in order, in one row if they are few, else in rounds of
+    joins. Rows with a NULL request or kind are left out.
+    """
+    counts = routes.groupBy(F.col("request_id").alias("_r")).agg(
+        F.count(F.when(F.col("kind") == "natural", 1)).alias("_natural"),
+        F.count(F.when(F.col("kind") == "synthetic", 1)).alias("_synthetic"),
+        F.min(F.when(F.col("kind") == "via", F.struct("route_idx", F.col("distance_m").alias("d"), F.col("duration_s").alias("t")))).alias("_via"))
+    j = routes.join(counts, F.col("request_id") == F.col("_r"))
+    with_via, natural = F.col("_via").isNotNull(), F.col("kind") == "natural"
+    d, t = F.col("distance_m"), F.col("duration_s")
+    own = ["request_id", "route_idx"]
+
+    def taken(df: DataFrame, most) -> DataFrame:
+        from pyspark.sql import Window as W
+        nth = F.row_number().over(W.partitionBy("request_id").orderBy("route_idx"))
+        return df.withColumn("_nth", nth).filter(F.col("_nth") <= most).select(*own)
+
+    via = j.filter(with_via & (F.col("kind") == "via") & (F.col("route_idx") == F.col("_via.route_idx"))).select(*own)
+    beside = taken(j.filter(with_via & natural & ~_similar(d, t, F.col("_via.d"), F.col("_via.t"), tol)), cap_via - 1)
+    plain = j.filter(~with_via & natural).select(*own)
+    few = j.filter(~with_via & (F.col("_natural") < ENOUGH_NATURAL) & (F.col("_synthetic") > 0))
+
+    route = F.struct(F.col("route_idx").alias("i"), d.alias("d"), t.alias("t"))
+    folded = few.filter(F.col("_synthetic") <= FOLD_CANDIDATES).groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.when(natural, route))).alias("_first"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "synthetic", route))).alias("_more"))
+    pool = F.aggregate("_more", F.col("_first"), lambda kept, c: F.when(
+        (F.size(kept) >= cap) | F.exists(kept, lambda r: _similar(c["d"], c["t"], r["d"], r["t"], tol)), kept)
+        .otherwise(F.concat(kept, F.array(c))))
+    added = (folded.select("request_id", F.explode(F.slice(pool, F.size("_first") + 1, cap)).alias("_c"))
+             .select("request_id", F.col("_c.i").alias("route_idx")))
+
+    many = cut_lineage(few.filter(F.col("_synthetic") > FOLD_CANDIDATES))
+    if not many.isEmpty():
+        # at most two natural routes a request stand in the way; the greedy pool of the rest is in order, so its first places count
+        fixed = many.filter(natural).select("request_id", F.col("route_idx").alias("_fi"), d.alias("_fd"), t.alias("_ft"))
+        free = many.filter(F.col("kind") == "synthetic").select(*own, "distance_m", "duration_s", "_natural")
+        met = free.join(fixed, "request_id").filter(_similar(d, t, F.col("_fd"), F.col("_ft"), tol)).select(*own).distinct()
+        kept = dedupe_routes(free.join(met, own, "left_anti"), cap, tol)
+        added = added.unionByName(taken(kept, F.lit(cap) - F.col("_natural")))
+    chosen = via.unionByName(beside).unionByName(plain).unionByName(added)
+    return routes.join(chosen, own, "left_semi")
+
+
 # -- via points ----------------------------------------------------------------
 
 def via_points(requests: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.stats import exact_avg
+from ..session import cut_lineage
 
 CURRENT_COLUMNS = ["city", "state", "latitude", "longitude", "datetime", "india_aqi",
                    "india_aqi_category", "us_aqi", "pm2_5_ugm3", "pm10_ugm3", "no2_ugm3",
@@ -53,12 +54,21 @@ def rank_order(aqi: str = "india_aqi", order: str = "desc") -> list[Column]:
 def rankings(latest: DataFrame, order: str = "desc") -> DataFrame:
     """QRY-3: rank = position in the ordered latest set.
 
-    The input has one row per station (bounded by the station count), so
-    the single ordered window here sorts a small, size-bounded set.
+    The rows are range-partitioned by the order and sorted within partitions;
+    a row's rank is its place in its partition plus the rows of the partitions
+    before, so no task sees all rows. Only the partitions' row counts meet.
     """
     if order not in ("asc", "desc"):
         raise ValueError("order must be 'asc' or 'desc'")
-    return latest.withColumn("rank", F.row_number().over(W.orderBy(*rank_order("india_aqi", order))))
+    by = rank_order("india_aqi", order)
+    placed = latest.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the low 33 bits number the rows of a partition; written once, as sampling the ranges anew could move their bounds
+    placed = cut_lineage(placed.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("_part", "n"))).scalar()
+    part = F.col("_part")
+    before = F.aggregate(F.filter("_sizes", lambda s: s["_part"] < part), F.lit(0).cast("long"), lambda a, s: a + s["n"])
+    return (placed.withColumn("_sizes", sizes).withColumn("rank", (before + F.col("_nth") + 1).cast("int"))
+            .drop("_part", "_nth", "_sizes"))
 
 
 def dataset_stats(facts: DataFrame, cities: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import risk as R
+from ..functions.stats import round_sql
 from ..operators import routes as RT
 from ..operators import serving as S
 from ..sources import fixtures as X
@@ -123,6 +124,25 @@ def geo_sensor_map(spark, sf):
     return sensor_map(X.measurements(spark, sf))
 
 
+@register("geo_city_sensors", f"""
+WITH loc AS (SELECT s_suppkey AS loc_id, s_name AS loc_name,
+    CASE WHEN s_suppkey % 29 <> 0 THEN 8.0::DOUBLE + (s_nationkey * 7) % 25 + (s_suppkey % 13 - 6) * 0.1::DOUBLE END AS la,
+    70.0::DOUBLE + (s_nationkey * 11) % 25 + (s_suppkey * 7 % 11 - 5) * 0.1::DOUBLE AS lo FROM supplier),
+sensor AS (SELECT p_partkey AS id, p_partkey % (SELECT count(*) FROM supplier) + 1 AS loc_id,
+    lower(['pm2.5', 'PM10', 'no2', 'so2', 'humidity', 'o3', 'CO', 'pm1'][(p_partkey * 5 + p_size) % 8 + 1]) AS parameter FROM part),
+wanted AS (SELECT * FROM (VALUES (1, 'pm2.5', 'pm2_5_ugm3'), (2, 'pm10', 'pm10_ugm3'), (3, 'no2', 'no2_ugm3'), (4, 'so2', 'so2_ugm3'),
+    (5, 'o3', 'o3_ugm3'), (6, 'co', 'co_ugm3')) w(n, parameter, col)),
+maps AS (SELECT loc_id, map_from_entries(list({{'key': col, 'value': id}} ORDER BY n)) AS sensors
+    FROM (SELECT loc_id, n, col, max(id) AS id FROM sensor JOIN wanted USING (parameter) GROUP BY 1, 2, 3) GROUP BY 1),
+near AS (SELECT c.name AS city, l.loc_id, l.loc_name, {G.haversine_km_sql('c.latitude', 'c.longitude', 'l.la', 'l.lo')} AS km
+    FROM cities c, loc l WHERE l.la IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY km, loc_id) AS rn FROM near)
+SELECT city, loc_id, loc_name, {round_sql('km', 1)} AS dist_km, sensors FROM best JOIN maps USING (loc_id) WHERE rn = 1 AND km <= 50""")
+def geo_city_sensors(spark, sf):
+    from ..operators.merge import city_sensors
+    return city_sensors(X.cities(spark, sf), X.sensor_locations(spark, sf))
+
+
 @register("geo_sample_waypoints", ctes(WPN, SAMP, select="""
 SELECT request_id, route_idx, count(*) AS n_samples, max(pos) AS last_pos FROM samp GROUP BY 1, 2"""))
 def geo_sample_waypoints(spark, sf):
@@ -208,6 +228,43 @@ def geo_dedupe_routes(spark, sf):
     return RT.dedupe_routes(r).select("request_id", "route_idx")
 
 
+_ALIKE = ("abs({0}.d - {1}.d) / greatest({0}.d, 1.0) < 0.08 AND abs({0}.t - {1}.t) / greatest({0}.t, 1.0) < 0.08")
+
+
+@register("geo_route_pool", f"""
+WITH RECURSIVE r AS (
+  SELECT request_id, route_idx, distance_m AS d, duration_s AS t,
+         CASE WHEN request_id % 7 = 0 AND route_idx = 0 THEN 'via' WHEN route_idx <= request_id % 4 THEN 'natural' ELSE 'synthetic' END AS kind
+  FROM route_candidates),
+via AS (SELECT * FROM r WHERE kind = 'via'),
+beside AS (
+  SELECT n.*, row_number() OVER (PARTITION BY n.request_id ORDER BY n.route_idx) AS nth
+  FROM r n JOIN via v ON n.request_id = v.request_id WHERE n.kind = 'natural' AND NOT ({_ALIKE.format('n', 'v')})),
+plain AS (SELECT * FROM r WHERE request_id NOT IN (SELECT request_id FROM via)),
+nat AS (SELECT * FROM plain WHERE kind = 'natural'),
+few AS (SELECT request_id, count(CASE WHEN kind = 'natural' THEN 1 END) AS n FROM plain GROUP BY 1 HAVING n < 3),
+queue AS (SELECT p.*, row_number() OVER (PARTITION BY p.request_id ORDER BY p.route_idx) AS place
+          FROM plain p JOIN few USING (request_id) WHERE p.kind = 'synthetic'),
+walk(request_id, place, pool) AS (
+  SELECT f.request_id, 0::BIGINT, coalesce(list({{'i': n.route_idx, 'd': n.d, 't': n.t}}) FILTER (n.route_idx IS NOT NULL), [])
+  FROM few f LEFT JOIN nat n USING (request_id) GROUP BY 1
+  UNION ALL
+  SELECT w.request_id, q.place,
+         CASE WHEN len(w.pool) >= 5 OR len(list_filter(w.pool, lambda x: abs(q.d - x.d) / greatest(q.d, 1.0) < 0.08
+                                                          AND abs(q.t - x.t) / greatest(q.t, 1.0) < 0.08)) > 0
+              THEN w.pool ELSE list_append(w.pool, {{'i': q.route_idx, 'd': q.d, 't': q.t}}) END
+  FROM walk w JOIN queue q ON q.request_id = w.request_id AND q.place = w.place + 1),
+added AS (SELECT request_id, unnest(pool).i AS route_idx FROM (
+            SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY place DESC) AS rn FROM walk) WHERE rn = 1)
+SELECT request_id, route_idx, 'via' AS kind FROM via
+UNION ALL SELECT request_id, route_idx, kind FROM beside WHERE nth <= 2
+UNION ALL SELECT request_id, route_idx, kind FROM nat
+UNION ALL SELECT a.request_id, a.route_idx, 'synthetic' FROM added a JOIN queue q ON q.request_id = a.request_id AND q.route_idx = a.route_idx""")
+def geo_route_pool(spark, sf):
+    r = X.pooled_routes(spark, sf).select("request_id", "route_idx", "distance_m", "duration_s", "kind")
+    return RT.route_pool(r).select("request_id", "route_idx", "kind")
+
+
 _VIA_T = ", ".join(f"({i}, {t!r}, {s}, {sc!r})" for i, (t, s, sc) in
                    enumerate(__import__("airlake.functions.constants", fromlist=["_"]).VIA_CANDIDATES))
 

@@ -218,3 +218,30 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_read.alias("is_read"),
         F.when(is_read, sent + F.expr("INTERVAL 1 HOUR")).alias("read_at"),
     )
+
+
+def pooled_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate routes with the way they were found: every seventh request
+    went through a via point, a request has up to three natural routes, and the
+    others are synthetic."""
+    r = route_candidates(spark, sf_dir)
+    i, q = F.col("route_idx"), F.col("request_id")
+    via = (q % 7 == 0) & (i == 0)
+    return r.withColumn("kind", F.when(via, "via").when(i <= q % 4, "natural").otherwise("synthetic"))
+
+
+def sensor_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measuring locations (suppliers, near their nation's city) with their
+    sensors (parts) as a nested list in sensor order; about twenty each."""
+    s = load(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    # FIXED VALUES - names as the sensor service spells them, some of them not wanted
+    names = F.array(*[F.lit(x) for x in ("pm2.5", "PM10", "no2", "so2", "humidity", "o3", "CO", "pm1")])
+    p = load(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_partkey") % s.agg(F.count(F.lit(1))).scalar() + 1).alias("loc_id"),
+        F.element_at(names, ((F.col("p_partkey") * 5 + F.col("p_size")) % 8 + 1).cast("int")).alias("parameter"))
+    sensors = p.groupBy("loc_id").agg(F.array_sort(F.collect_list(F.struct("id", "parameter"))).alias("sensors"))
+    at = s.select(k.alias("loc_id"), F.col("s_name").alias("loc_name"),
+                  F.when(k % 29 != 0, F.lit(8.0) + (n * 7) % 25 + (k % 13 - 6) * 0.1).alias("latitude"),
+                  (F.lit(70.0) + (n * 11) % 25 + (k * 7 % 11 - 5) * 0.1).alias("longitude"))
+    return at.join(sensors, "loc_id", "left")

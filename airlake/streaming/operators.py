@@ -10,7 +10,7 @@ Here the same work runs as streaming queries over a file source:
 * an idempotent fact sink via ``foreachBatch`` (MRG-10 per micro-batch),
 * alert cooldowns as per-key state with ``applyInPandasWithState``
   (one small state row per (user, type, city), expired by event-time
-  timeout), and
+  timeout) and as keyed state with timers (``transformWithStateInPandas``), and
 * sliding 7-day windows for week-over-week trends.
 
 Progress is per station (watermarks are global to a query, but nothing
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import constants as K
@@ -140,6 +142,71 @@ def stream_alerts(candidates: DataFrame, hours: int = K.THRESHOLD_COOLDOWN_HOURS
         _cooldown_fn(hours), ALERT_OUTPUT, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def sends(times: np.ndarray, last: int | None, gap: int) -> list[int]:
+    """Places, in ascending ``times``, of the alerts that go out: each at least
+    ``gap`` after the one before. Jumps from alert to alert, not row to row."""
+    out: list[int] = []
+    at = 0 if last is None else int(np.searchsorted(times, last + gap))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return out
+
+
+class AlertCooldown(StatefulProcessor):
+    """Per key the time of the last alert (microseconds), dropped by a timer
+    once it can no longer hold anything back."""
+
+    def __init__(self, hours: int):
+        self.gap = hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last_sent", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # times and values only, 16 bytes a row of this key in this micro-batch
+        chunks = [(r["event_at"].to_numpy("datetime64[us]").astype(np.int64), r["aqi_value"].to_numpy(float)) for r in rows]
+        times, values = (np.concatenate(c) for c in zip(*chunks))
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        before = self.last.get()[0] if self.last.exists() else None
+        out = sends(times, before, self.gap)
+        if out:
+            last = int(times[out[-1]])
+            if before is not None:
+                self.handle.deleteTimer((before + self.gap) // 1000)
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.gap) // 1000)
+            yield pd.DataFrame({"user_id": key[0], "notification_type": key[1], "city_id": key[2],
+                                "sent_at": times[out].astype("datetime64[us]"), "aqi_value": values[out]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_alerts_with_timers(candidates: DataFrame, hours: int = K.THRESHOLD_COOLDOWN_HOURS,
+                              watermark: str = "1 hour") -> DataFrame:
+    """STR-6 on keyed state with timers (``transformWithStateInPandas``): as
+    ``stream_alerts``, at most one alert per key within ``hours``, over any
+    number of micro-batches. A key's state is one number in RocksDB and is
+    cleared when the watermark passes the end of its cooldown. Rows with a NULL
+    event time are left out; rows behind the watermark are dropped by Spark."""
+    spark = candidates.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)  # keyed state needs it; other queries keep the store they started with
+    c = candidates.filter(F.col("event_at").isNotNull()).withColumn("_event_ts", ntz_to_instant("event_at"))
+    return (c.withWatermark("_event_ts", watermark).groupBy("user_id", "notification_type", "city_id")
+            .transformWithStateInPandas(AlertCooldown(hours), ALERT_OUTPUT, "Append", "EventTime"))
+
+
 def stream_prior_week(stream: DataFrame, value: str = "india_aqi", key: str = "station_id",
                       watermark: str = "1 day") -> DataFrame:
     """STR-7: sliding 7-day windows every day: mean AQI per key."""
