@@ -9,7 +9,7 @@ which never back-fills a lagging station).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aqi as A
@@ -232,6 +232,23 @@ def run_summary(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     return f.join(i, "city", "left").withColumn("inserted", F.coalesce("inserted", F.lit(0)))
 
 
+def insert_with_totals(target: DataFrame, batch: DataFrame, path: str, sources=("measured", "modelled"),
+                       source: str = "source", order: str | None = None, key=KEY) -> dict:
+    """MRG-17 in the pass that writes: appends the batch's new rows to the
+    Parquet folder ``path`` and returns the run's totals: rows_fetched,
+    rows_inserted, start_dt, end_dt, and rows_<source> of each given source.
+
+    The totals are observed on the rows as they pass, so the batch is read once.
+    An empty batch gives zeros and no dates."""
+    fetched, added = Observation("fetched"), Observation("added")
+    per_source = [F.count(F.when(F.col(source) == s, F.lit(1))).alias(f"rows_{s}") for s in sources]
+    seen = batch.observe(fetched, F.count(F.lit(1)).alias("rows_fetched"), F.min("datetime").alias("start_dt"),
+                         F.max("datetime").alias("end_dt"), *per_source)
+    new = insert_new(target, seen, order, key).observe(added, F.count(F.lit(1)).alias("rows_inserted"))
+    new.write.mode("append").parquet(path)
+    return {**fetched.get, **added.get}
+
+
 def export_frame(df: DataFrame) -> DataFrame:
     """MRG-18 shape: ISO ``yyyy-MM-dd HH:mm:ss`` datetime text and the US
     category column."""
@@ -262,11 +279,35 @@ def weather_coverage(merged: DataFrame) -> DataFrame:
 
 
 def write_facts(df: DataFrame, path: str, mode: str = "append") -> None:
-    """SNK-1: Parquet partitioned by date, sorted by station within files
-    (date pruning replaces the original's DELETE-based retention)."""
-    (df.withColumn("date", F.to_date("datetime")).repartition("date")
-     .sortWithinPartitions("station_id", "datetime")
-     .write.mode(mode).partitionBy("date").parquet(path))
+    """SNK-1: Parquet partitioned by date, sorted by station within files.
+
+    The rows are rebalanced by date: a day with most of the rows is split over
+    several tasks and files, small days share a task. ``overwrite`` replaces the
+    whole table, ``days`` the days that ``df`` holds and leaves the others."""
+    overwrite = "dynamic" if mode == "days" else "static"
+    (df.withColumn("date", F.to_date("datetime")).hint("rebalance", F.col("date"))
+     .sortWithinPartitions("date", "station_id", "datetime")
+     .write.mode("overwrite" if mode == "days" else mode).option("partitionOverwriteMode", overwrite)
+     .partitionBy("date").parquet(path))
+
+
+def read_days(spark: SparkSession, path: str, first, last) -> DataFrame:
+    """The facts of the days ``first`` to ``last`` (dates, inclusive): only
+    their folders are listed and read."""
+    return spark.read.parquet(path).filter(F.col("date").between(F.lit(first), F.lit(last)))
+
+
+def drop_days(spark: SparkSession, path: str, before) -> list[str]:
+    """MRG-14 on the sink: removes the folders of the days before a date and
+    returns their names. No row is read or rewritten."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(top) if f.isDirectory())
+    old = [n for n in names if n.startswith("date=") and n[5:] < str(before)]
+    for n in old:
+        fs.delete(hadoop.Path(top, n), True)
+    return old
 
 
 def reseed(spark, target_path: str, source: DataFrame, mode: str = "skip", key=KEY) -> str:

@@ -79,6 +79,28 @@ def pattern(facts: DataFrame, as_of: Column, kind: str) -> DataFrame:
         (F.col("bucket") == F.col("best")).alias("is_best"))
 
 
+#: Kinds of ``patterns``, as ``pattern`` names them.
+KINDS = ("time_of_day", "day_of_week", "season")
+
+
+def patterns(facts: DataFrame, as_of: Column) -> DataFrame:
+    """TRD-3 to TRD-5 in one pass over the facts by grouping sets: ``pattern`` of
+    every kind, with its ``kind``."""
+    f = scoped(facts, as_of).withColumns({
+        "time_of_day": F.coalesce(F.col("time_of_day"), C.time_of_day(F.hour("datetime"))),
+        "day_of_week": F.initcap(C.day_name("datetime"))})
+    means = (f.groupingSets([["city", k] for k in KINDS], "city", *KINDS)
+             .agg(exact_avg("india_aqi", 1).alias("mean"), *[F.grouping(k).alias("_not_" + k) for k in KINDS]))
+    kind = F.coalesce(*[F.when(F.col("_not_" + k) == 0, F.lit(k)) for k in KINDS])
+    means = means.select("city", kind.alias("kind"), F.coalesce(*KINDS).alias("bucket"), "mean").filter("bucket is not null")
+    picks = means.groupBy("city", "kind").agg(
+        F.min_by("bucket", F.struct(-F.col("mean"), F.col("bucket"))).alias("worst"),
+        F.min_by("bucket", F.struct(F.col("mean"), F.col("bucket"))).alias("best"))
+    return means.join(picks, ["city", "kind"]).select(
+        "city", "kind", "bucket", F.round("mean", 1).alias("avg_aqi"),
+        (F.col("bucket") == F.col("worst")).alias("is_worst"), (F.col("bucket") == F.col("best")).alias("is_best"))
+
+
 def pattern_maps(facts: DataFrame, as_of: Column, kind: str) -> DataFrame:
     """TRD-7: {bucket: mean (1 decimal)} per city, keys sorted."""
     p = pattern(facts, as_of, kind)

@@ -204,6 +204,21 @@ def mrg_run_summary(spark, sf):
     return M.run_summary(batch, ins)
 
 
+@register("mrg_run_totals", f"""
+WITH b AS (SELECT *, station_id % 2 = 0 AS m FROM facts WHERE datetime >= {NOW} - INTERVAL 5 DAY)
+SELECT count(*) AS rows_fetched, count(CASE WHEN datetime > {NOW} - INTERVAL 3 DAY THEN 1 END) AS rows_inserted,
+       min(datetime) AS start_dt, max(datetime) AS end_dt, count(CASE WHEN m THEN 1 END) AS rows_measured,
+       count(CASE WHEN NOT m THEN 1 END) AS rows_modelled FROM b""")
+def mrg_run_totals(spark, sf):
+    f = facts(spark, sf).withColumn("source", F.when(F.col("station_id") % 2 == 0, "measured").otherwise("modelled"))
+    t = as_of(f)
+    batch = f.filter(F.col("datetime") >= t - F.make_dt_interval(F.lit(5)))
+    target = f.filter(F.col("datetime") <= t - F.make_dt_interval(F.lit(3)))
+    totals = M.insert_with_totals(target, batch, landed.scratch(spark, "run-totals"))
+    return spark.createDataFrame([totals], "rows_fetched long, rows_inserted long, start_dt timestamp_ntz, end_dt timestamp_ntz, "
+                                           "rows_measured long, rows_modelled long")
+
+
 @register("mrg_export_frame", f"""
 SELECT city, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, us_aqi,
        {A.us_category_sql('us_aqi')} AS aqi_category FROM facts""")

@@ -75,6 +75,15 @@ def trd_season_pattern(spark, sf):
     return T.pattern(f, as_of(f), "season")
 
 
+@register("trd_patterns", ctes(*TOD, *DOW, *SEA, select="""
+SELECT city, 'time_of_day' AS kind, bucket, avg_aqi, is_worst, is_best FROM tod
+UNION ALL SELECT city, 'day_of_week', bucket, avg_aqi, is_worst, is_best FROM dow
+UNION ALL SELECT city, 'season', bucket, avg_aqi, is_worst, is_best FROM sea"""))
+def trd_patterns(spark, sf):
+    f = facts(spark, sf)
+    return T.patterns(f, as_of(f))
+
+
 @register("trd_pattern_maps", ctes(*TOD, select="""
 SELECT city, map_from_entries(list(struct_pack(k := bucket, v := avg_aqi) ORDER BY bucket)) AS averages
 FROM tod GROUP BY city"""))

@@ -33,7 +33,7 @@ from ..functions import constants as K
 from ..functions.calendar import instant_to_ntz, ntz_to_instant
 from ..functions.stats import exact_avg
 from ..operators.enrich import add_derived
-from ..operators.merge import PARAMETER_COLUMNS, PARAMETERS, insert_new
+from ..operators.merge import PARAMETER_COLUMNS, PARAMETERS, insert_new, read_days, write_facts
 from ..session import has_files
 
 MEASUREMENT_SCHEMA = T.StructType([
@@ -80,14 +80,16 @@ def stream_enrich(stream: DataFrame) -> DataFrame:
 
 def stream_insert_new(stream: DataFrame, target_path: str, checkpoint: str, key=("station_id", "datetime")):
     """STR-5: append only rows whose key is not in the target yet
-    (MRG-10 per micro-batch, so a replayed batch adds nothing twice)."""
+    (MRG-10 per micro-batch, so a replayed batch adds nothing twice). The target
+    is partitioned by date (SNK-1); of it, the days of the batch are read."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        if has_files(spark, target_path):  # a read error fails the batch, which is then repeated
-            target = spark.read.parquet(target_path).select(*key)
+        first, last = batch.agg(F.min(F.to_date("datetime")), F.max(F.to_date("datetime"))).first()
+        if first is not None and has_files(spark, target_path):  # a read error fails the batch, which is then repeated
+            target = read_days(spark, target_path, first, last).select(*key)
         else:
             target = spark.createDataFrame([], batch.select(*key).schema)
-        insert_new(target, batch, None, key).write.mode("append").parquet(target_path)
+        write_facts(insert_new(target, batch, None, key), target_path)
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

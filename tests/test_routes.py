@@ -110,3 +110,70 @@ def test_geometry_path_equals_point_path(spark, sf):
     b = {(r.request_id, r.route_idx): r.avg_aqi_raw
          for r in RT.exposure_from_points(X.route_sample_points(spark, sf), ca).collect()}
     assert a == b and len(a) > 1000
+
+
+def _pool(rows, cap=5, cap_via=3):
+    """The pool rule row by row for one request: (idx, d, t, kind) in order."""
+    vias = [r for r in rows if r[3] == "via"]
+    natural = [r for r in rows if r[3] == "natural"]
+    if vias:
+        pool = [vias[0]]
+        for r in natural:
+            if len(pool) < cap_via and not _similar(r[1:3], vias[0][1:3]):
+                pool.append(r)
+        return {r[0] for r in pool}
+    pool = list(natural)
+    if len(pool) < 3:
+        for r in rows:
+            if r[3] == "synthetic" and len(pool) < cap and not any(_similar(r[1:3], k[1:3]) for k in pool):
+                pool.append(r)
+    return {r[0] for r in pool}
+
+
+@pytest.mark.parametrize("fold", [64, 3])
+def test_route_pool_matches_rule(spark, monkeypatch, fold):
+    monkeypatch.setattr(RT, "FOLD_CANDIDATES", fold)
+    rnd = random.Random(11)
+    rows = []
+    for req in range(120):
+        mode = req % 4
+        for idx in range(rnd.randint(1, 14)):
+            base = 10000.0 + rnd.choice([0, 0, 300, 900, 4000])
+            kind = "via" if mode == 0 and idx in (0, 5) else "natural" if rnd.random() < (0.5, 0.15, 0.4, 0)[mode] else "synthetic"
+            rows.append((req, idx, base * (1 + rnd.uniform(-0.1, 0.1)), base / 10 * (1 + rnd.uniform(-0.1, 0.1)), kind))
+    df = spark.createDataFrame(rows, "request_id long, route_idx int, distance_m double, duration_s double, kind string")
+    got = {(r.request_id, r.route_idx) for r in RT.route_pool(df).collect()}
+    want = {(q, i) for q in range(120) for i in _pool([r[1:] for r in rows if r[0] == q])}
+    assert got == want
+
+
+def test_route_pool_empty(spark):
+    df = spark.createDataFrame([], "request_id long, route_idx int, distance_m double, duration_s double, kind string")
+    assert RT.route_pool(df).count() == 0
+
+
+def test_city_sensors(spark):
+    from airlake.operators.merge import city_sensors
+    cities = spark.createDataFrame([("a", 10.0, 70.0), ("far", 40.0, 100.0), ("odd", 20.0, 80.0)], "name string, latitude double, longitude double")
+    locations = spark.createDataFrame([
+        (7, "near", 10.1, 70.0, [(1, "pm2.5"), (2, "PM10"), (3, "PM2.5"), (4, "humidity")]),
+        (5, "nearer, no place", None, None, [(9, "no2")]), (8, "too far", 10.4, 70.0, [(5, "no2")]),
+        (6, "nothing wanted", 20.0, 80.1, [(6, "humidity")]), (9, "no list", 20.0, 80.2, None)],
+        "loc_id long, loc_name string, latitude double, longitude double, sensors array<struct<id:long,parameter:string>>")
+    got = [tuple(r) for r in city_sensors(cities, locations).collect()]
+    assert got == [("a", 7, "near", 11.1, {"pm2_5_ugm3": 3, "pm10_ugm3": 2})]
+
+
+def test_rank_has_no_single_task_window(spark):
+    from airlake.operators import serving as S
+    rnd = random.Random(3)
+    rows = [(f"c{i:04d}", rnd.choice([None, 1.0, 2.0, rnd.random()])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "city string, india_aqi double")
+    for order in ("desc", "asc"):
+        got = S.rankings(df, order)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+        ranks = {r.city: r["rank"] for r in got.collect()}
+        head = {"desc": lambda v: (v is not None, -(v or 0)), "asc": lambda v: (v is None, v or 0)}[order]
+        want = sorted(rows, key=lambda r: (*head(r[1]), r[0]))
+        assert ranks == {c: i + 1 for i, (c, _) in enumerate(want)}
