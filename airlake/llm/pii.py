@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_tagger as lstm
+from .common import saved
 from .pii_base import KINDS, base_spans, luhn
 
 #: Bounds of the training sample: documents looked at, windows per document, windows in all.
 MAX_DOCUMENTS, WINDOWS_PER_DOCUMENT, MAX_WINDOWS = 4_000, 6, 2_000
+#: Of these, windows without a span; the others hold one.
+MAX_FREE = MAX_WINDOWS // 3
 TRAIN_LENGTH, STEPS = 96, 240
 #: Window length and what two neighbours share, in characters.
 WINDOW, SHARED = 512, 64
@@ -110,8 +113,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", steps: int =
             got = [(int(p), i, w, g) for t, p in zip(b["t"], b["p"]) for i, (w, g) in enumerate(training_rows(t, int(p)))]
             yield pd.DataFrame(got, columns=["p", "i", "w", "g"])
 
-    sample = (rows.mapInPandas(cut, "p long, i int, w string, g binary")
-              .orderBy((F.hex("g").rlike("[1-9]")).desc(), "p", "i", "w").limit(MAX_WINDOWS).collect())
+    cuts = saved(rows.mapInPandas(cut, "p long, i int, w string, g binary"), "tagger-windows")
+    tagged, order = F.hex("g").rlike("[1-9]"), ("p", "i", "w")
+    sample = (cuts.filter(tagged).orderBy(*order).limit(MAX_WINDOWS - MAX_FREE)
+              .unionAll(cuts.filter(~tagged).orderBy(*order).limit(MAX_FREE)).collect())
     sample = [(r["w"], np.frombuffer(bytes(r["g"]), np.uint8)) for r in sample]
     if not any(g.any() for _, g in sample):
         return None
@@ -123,11 +128,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", steps: int =
 
 
 def cut_windows(n: int) -> list[int]:
-    """Starts of the windows of a text of n characters; the last one ends with it."""
-    if n <= WINDOW:
-        return [0]
-    starts = list(range(0, n - WINDOW, WINDOW - SHARED))
-    return [*starts, n - WINDOW]
+    """Starts of the windows of a text of n characters. Each but the last is
+    ``WINDOW`` long; the last one ends with the text and may be shorter, but not
+    than what two neighbours share, so that no character is read a third time."""
+    return [*range(0, max(1, n - SHARED), WINDOW - SHARED)]
 
 
 def window_spans(model: lstm.Tagger, codes: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
@@ -194,24 +198,16 @@ def tag_texts(model: lstm.Tagger | None, texts: list[str | None]):
     base = [base_spans(t) for t in texts]
     proposed: list[list] = [[] for _ in texts]
     if model is not None:
-        codes = np.full((BATCH, WINDOW), lstm.PAD, np.int32)
-        at: list[tuple[int, int]] = []
-
-        def flush():
-            for (d, lo), spans in zip(at, window_spans(model, codes[:len(at)])):
+        codes = [lstm.encode(t or "") for t in texts]
+        at = [(min(WINDOW, len(c) - lo), d, lo) for d, c in enumerate(codes) if len(c) for lo in cut_windows(len(c))]
+        at.sort()  # windows of about one length share a batch, so that little is filled up
+        for first in range(0, len(at), BATCH):
+            some = at[first:first + BATCH]
+            batch = np.full((len(some), some[-1][0]), lstm.PAD, np.int32)
+            for row, (n, d, lo) in zip(batch, some):
+                row[:n] = codes[d][lo:lo + n]
+            for (_, d, lo), spans in zip(some, window_spans(model, batch)):
                 proposed[d] += [(k, lo + s, lo + e, x) for k, s, e, x in spans]
-            at.clear()
-
-        for d, text in enumerate(texts):
-            c = lstm.encode(text or "")
-            for lo in cut_windows(len(c)) if len(c) else []:
-                piece = c[lo:lo + WINDOW]
-                codes[len(at), :len(piece)], codes[len(at), len(piece):] = piece, lstm.PAD
-                at.append((d, lo))
-                if len(at) == BATCH:
-                    flush()
-        if at:
-            flush()
     return [(b, added_spans(t or "", b, p) if p else []) for t, b, p in zip(texts, base, proposed)]
 
 
