@@ -25,6 +25,16 @@ def exact_avg(c, scale: int = 1, cond: Column | None = None) -> Column:
     return exact_sum(c, scale, cond) / n
 
 
+def exact_mean(c: str) -> Column:
+    """Mean of doubles with any number of decimals, summed to ten of them, so
+    that it doesn't depend on the order of the rows either."""
+    return F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count(c)
+
+
+def exact_mean_sql(c: str) -> str:
+    return f"(CAST(sum(CAST(CAST({c} AS VARCHAR) AS DECIMAL(28, 10))) AS DOUBLE) / count({c}))"
+
+
 def exact_sum_sql(c: str, scale: int = 1, cond: str | None = None) -> str:
     x = f"CASE WHEN {cond} THEN {c} END" if cond else c
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE)"

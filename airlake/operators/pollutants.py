@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.stats import exact_mean
 
 POLLUTANT_VALUE_COLUMNS = ["pm2_5_ugm3", "pm10_ugm3", "no2_ugm3", "so2_ugm3", "co_ugm3", "o3_ugm3"]
 
@@ -41,7 +42,7 @@ def pollutant_summary(facts: DataFrame, days: int = 7) -> DataFrame:
     std = F.broadcast(standards_table(facts.sparkSession))
     g = (long.join(std, "column_name").groupBy("city", "position", "pollutant", "column_name", "unit",
                                           "national_standard")
-         .agg(F.avg("value").alias("mean"),
+         .agg(exact_mean("value").alias("mean"),
               F.count("value").alias("n"),
               F.count(F.when(F.col("value") > F.col("national_standard"), 1)).alias("n_over")))
     return g.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import calendar as C
 from ..functions import constants as K
-from ..functions.stats import exact_avg_sql
+from ..functions.stats import exact_avg_sql, exact_mean_sql, round_sql
 from ..operators import pollutants as P
 from ..operators import trends as T
 from .inputs import as_of, facts
@@ -18,8 +18,8 @@ _P7 = "datetime >= as_of - INTERVAL 14 DAY AND datetime < as_of - INTERVAL 7 DAY
 _L30 = "datetime >= as_of - INTERVAL 30 DAY"
 
 PER_G = ("per_g", f"""SELECT city, count(*) AS n_rows,
-             round({exact_avg_sql('india_aqi', 1, _L7)}, 1) AS avg_aqi_7d,
-             round({exact_avg_sql('india_aqi', 1, _L30)}, 1) AS avg_aqi_30d,
+             {round_sql(exact_avg_sql('india_aqi', 1, _L7), 1)} AS avg_aqi_7d,
+             {round_sql(exact_avg_sql('india_aqi', 1, _L30), 1)} AS avg_aqi_30d,
              {exact_avg_sql('india_aqi', 1, _P7)} AS prior_avg
       FROM s GROUP BY city HAVING count(*) >= 24""")
 PER_H = ("per_h", """SELECT *, (avg_aqi_7d - prior_avg) / prior_avg * 100 AS chg,
@@ -42,7 +42,7 @@ def pattern_ctes(p: str, bucket: str, where: str = "") -> list[tuple[str, str]]:
                        f"FROM {p}_b GROUP BY 1, 2"),
             (f"{p}_r", f"""SELECT *, row_number() OVER (PARTITION BY city ORDER BY mean DESC, bucket) AS rw,
              row_number() OVER (PARTITION BY city ORDER BY mean ASC, bucket) AS rb FROM {p}_m"""),
-            (p, f"SELECT city, bucket, round(mean, 1) AS avg_aqi, rw = 1 AS is_worst, "
+            (p, f"SELECT city, bucket, {round_sql('mean', 1)} AS avg_aqi, rw = 1 AS is_worst, "
                 f"rb = 1 AS is_best FROM {p}_r")]
 
 
@@ -129,11 +129,11 @@ SUMMARY = [
              ON f.city = m.c WHERE f.datetime >= m.mx - INTERVAL 7 DAY"""),
     ("lng", _unpivot("rec")),
     ("std", f"SELECT * FROM (VALUES {_STD_ROWS}) t(position, pollutant, column_name, national_standard)"),
-    ("sg", """SELECT city, position, pollutant, std.column_name, national_standard, avg(value) AS mean,
+    ("sg", f"""SELECT city, position, pollutant, std.column_name, national_standard, {exact_mean_sql('value')} AS mean,
              count(value) AS n, count(CASE WHEN value > national_standard THEN 1 END) AS n_over
       FROM lng JOIN std ON lng.column_name = std.column_name GROUP BY ALL"""),
     ("sm", f"""SELECT city, CAST(position AS INTEGER) AS position, pollutant, column_name, '{K.POLLUTANT_UNIT}' AS unit,
-       national_standard, round(mean, 2) AS avg_concentration,
+       national_standard, {round_sql('mean', 2)} AS avg_concentration,
        round(n_over / n * 100, 1) AS pct_exceeding_standard,
        CASE WHEN mean > national_standard THEN 'Exceeds standard' ELSE 'Within standard' END AS status
        FROM sg"""),
