@@ -50,3 +50,10 @@ def round_sql(x: str, n: int) -> str:
     decimal that stands for it. DuckDB's own ``round`` scales first, so that
     26.349999999999998 becomes 26.4 there."""
     return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {n}) AS DOUBLE)"
+
+
+def bround_sql(x: str, n: int) -> str:
+    """DuckDB text of Spark's ``bround`` of a double, as ``round_sql`` with ties to even."""
+    unit, half = f"{10 ** -n:.{n}f}", f"{10 ** -n / 2:.{n + 1}f}"
+    return (f"CAST(list_transform([CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20))], lambda d: CASE WHEN abs(round(d, {n}) - d) = {half} "
+            f"AND CAST(round(d, {n}) * {10 ** n} AS BIGINT) % 2 <> 0 THEN round(d, {n}) - sign(d) * {unit} ELSE round(d, {n}) END)[1] AS DOUBLE)")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import risk as R
-from ..functions.stats import round_sql
+from ..functions.stats import bround_sql, round_sql
 from ..operators import routes as RT
 from ..operators import serving as S
 from ..sources import fixtures as X
@@ -56,8 +56,8 @@ NEAR = ("near", f"""SELECT request_id, route_idx, pos, aqi FROM (
    FROM samp s, cam c) x WHERE rn = 1""")
 EXPO = ("expo", """SELECT request_id, route_idx,
    list_reduce(list(aqi ORDER BY pos), lambda a, b: a + b) / count(*) AS avg_aqi_raw FROM near GROUP BY 1, 2""")
-SCORED = ("scored", """SELECT r.*, e.avg_aqi_raw, round_even(r.distance_m / 1000, 2) AS distance_km,
-   round_even(r.duration_s / 60, 1) AS time_min, round_even(e.avg_aqi_raw, 1) AS avg_aqi
+SCORED = ("scored", f"""SELECT r.*, e.avg_aqi_raw, {bround_sql('r.distance_m / 1000', 2)} AS distance_km,
+   {bround_sql('r.duration_s / 60', 1)} AS time_min, {bround_sql('e.avg_aqi_raw', 1)} AS avg_aqi
 FROM route_ends r JOIN expo e USING (request_id, route_idx)""")
 SCORING = [LATEST, CAM, WPN, SAMP, NEAR, EXPO, SCORED]
 CLASSIFY = SCORING + [
@@ -75,8 +75,8 @@ CLASSIFY = SCORING + [
        WHERE (route_type = 'fastest' AND r_f = 1) OR (route_type = 'clean' AND r_c = 1)
           OR (route_type = 'balanced' AND r_b = 1)"""),
     ("cards0", "SELECT c.route_type, s.* FROM cls c JOIN scored s USING (request_id, route_idx)"),
-    ("cards", """SELECT c.*, CASE WHEN c.route_type <> 'fastest' AND f.avg_aqi > 0
-       THEN round_even((f.avg_aqi - c.avg_aqi) / f.avg_aqi * 100, 1) END AS exposure_reduction_pct
+    ("cards", f"""SELECT c.*, CASE WHEN c.route_type <> 'fastest' AND f.avg_aqi > 0
+       THEN {bround_sql('(f.avg_aqi - c.avg_aqi) / f.avg_aqi * 100', 1)} END AS exposure_reduction_pct
        FROM cards0 c JOIN (SELECT request_id, avg_aqi FROM cards0 WHERE route_type = 'fastest') f
        USING (request_id)"""),
 ]
