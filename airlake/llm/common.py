@@ -16,6 +16,25 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of an Arrow batch, for stages that send whole texts to Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Arrow batches of ``most`` bytes from here on: a limit on rows alone
+    bounds neither a task's Arrow buffers nor its Python worker. A longer text
+    is a batch of its own."""
+    now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)))
+    if now <= 0 or now > most:
+        spark.conf.set(_BATCH, str(most))
+
+
+def named(name: str) -> str:
+    """A column name in quotes, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlake.llm import decontamination, language, mixing, near_dedup, sharding
-from airlake.llm.common import documents, saved
+from airlake.llm.common import bounded_batches, documents, named, saved
 from airlake.llm.queries import SHARDS, held_out
 from airlake.sources.tables import load
 
@@ -30,12 +30,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no learned language: null texts, texts without letters,
     and ambiguous texts below ``LEAST_CONFIDENCE``. When no row carries a
     label nothing can be learned and all rows stay."""
+    bounded_batches(spark)
     model = language.train(docs.filter(~F.coalesce(held_out(), F.lit(False))))
     if not model.languages:
         return docs
     guess = language.predict(model, F.col("text"))
     sure = (guess["lang"] != language.UNKNOWN) & (~guess["ambiguous"] | (guess["score"] >= LEAST_CONFIDENCE))
-    return docs.withColumn("__lid", sure).filter("__lid").drop("__lid")
+    return docs.filter(sure)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words stay. Where a doc_id is null or repeated, the texts are
     compared under a hash of their own, so no text goes with another one of
     its id."""
+    bounded_batches(spark)
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     if not ids.filter("n > 1 or doc_id is null").isEmpty():
         return _one_row_each(docs)
     dropped = saved(near_dedup.near_components(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
     few = dropped.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def _one_row_each(docs: DataFrame) -> DataFrame:
@@ -61,16 +63,17 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
     of = saved(of, "near-texts")
     several = of.groupBy("__of").agg(F.sum("n").alias("n")).filter("n > 1").select("__of")
     several = saved(of.join(several, "__of").select("__nd", "__of"), "near-several")
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__nd", F.xxhash64(*docs.columns))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__nd", F.xxhash64(*map(named, docs.columns)))
     met = rows.join(several, "__nd").withColumn("__place", place)
     first = met.groupBy(F.col("__of").alias("__one")).agg(F.min("__place").alias("__first"))
     kept = (met.join(first, (F.col("__of") == F.col("__one")) & F.col("__place").eqNullSafe(F.col("__first")))
             .dropDuplicates(["__of"]))
-    return rows.join(several, "__nd", "left_anti").select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return rows.join(several, "__nd", "left_anti").select(*map(named, docs.columns)).unionByName(kept.select(*map(named, docs.columns)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that hold a benchmark item; null and empty texts stay."""
+    bounded_batches(spark)
     return decontamination.clean_rows(docs, load(spark, sf_dir, "benchmark"))
 
 
@@ -83,6 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns with size, text_crc32, law, shard, slot and grown_shard;
     input columns of these names are replaced."""
+    bounded_batches(spark)
     return sharding.assign_shards(docs, SHARDS, carry=docs.columns)
 
 
