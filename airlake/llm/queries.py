@@ -130,17 +130,22 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.element_at(F.transform(P + "positions", lambda t: F.floor(t * 1_000_000)), 1)
-    return mixing.mix(documents(spark, sf_dir)).select(
-        "doc_id", F.col(P + "size").alias("size"), F.col(P + "source_size").alias("source_size"),
-        F.col(P + "target").alias("target"), F.col(P + "taken").cast("long").alias("taken"),
-        F.size(P + "positions").cast("long").alias("copies"),
-        F.when(F.size(P + "positions") > 0, at).alias("first_position_millionths"))
+    copies = F.size(P + "positions")
+    mixed = mixing.mix(documents(spark, sf_dir)).withColumns({
+        "size": F.col(P + "size"), "source_size": F.col(P + "source_size"), "target": F.col(P + "target"),
+        "taken": F.col(P + "taken").cast("long"), "copies": copies.cast("long"),
+        "first_position_millionths": F.when(copies > 0, at)})
+    columns = ["doc_id", "size", "source_size", "target", "taken", "copies", "first_position_millionths"]
+    ranks = F.col(P + "ranks")
+    return mixing.training_ranks(mixed, columns).select(
+        *columns, F.when(F.size(ranks) > 0, F.array_min(ranks)).alias("first_rank"),
+        F.when(F.size(ranks) > 0, F.array_max(ranks)).alias("last_rank"))
 
 
 OP5_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS ord FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS ord FROM documents),
 src AS (
   SELECT source, size, (row_number() OVER (ORDER BY source NULLS LAST) - 1)::INTEGER AS rnk
   FROM (SELECT source, sum(size)::BIGINT AS size FROM sized GROUP BY source)),
@@ -157,23 +162,27 @@ goal AS (
   SELECT source, size AS source_size, rnk,
          least(most, (SELECT max(level) FROM levels WHERE level <= fills_at) * w) AS target FROM weighed),
 placed AS (
-  SELECT s.doc_id, s.size, g.source_size, g.target, g.rnk,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord, s.size
+  SELECT s.doc_id, s.size, s.ord, g.source_size, g.target, g.rnk,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.ord
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
 copies AS (
   SELECT *, before + size / 2.0::DOUBLE AS mid0, before + source_size + size / 2.0::DOUBLE AS mid1 FROM placed),
 taken_at AS (
   SELECT *, (target > 0 AND mid0 <= target)::BIGINT + (target > 0 AND mid1 <= target)::BIGINT AS copies,
-         least(1.0, greatest(0.0, mid0 / greatest(target, 1e-9))) AS u FROM copies)
-SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
-       CASE WHEN copies > 0 THEN CAST(floor(1000000 * CASE rnk % 3
+         unnest([0, 1]) AS nth, unnest([mid0, mid1]) AS mid FROM copies),
+shares AS (SELECT *, least(1.0, greatest(0.0, mid / greatest(target, 1e-9))) AS u FROM taken_at),
+positions AS (
+  SELECT *, CASE WHEN target > 0 AND mid <= target THEN CASE rnk % 3
          WHEN 0 THEN 2.0 * u / (1.5 + sqrt(greatest(2.25 - 2.0 * u, 0.0)))
          WHEN 1 THEN u
          ELSE CASE WHEN u <= 0.375 THEN 2.0 * u / (0.5 + sqrt(0.25 + 2.0 * u))
-                   ELSE 0.5 + 2.0 * (u - 0.375) / (1.0 + sqrt(1.0 + 2.0 * (u - 0.375))) END END) AS BIGINT) END
-         AS first_position_millionths
-FROM taken_at"""
+                   ELSE 0.5 + 2.0 * (u - 0.375) / (1.0 + sqrt(1.0 + 2.0 * (u - 0.375))) END END END AS pos FROM shares),
+ranked AS (SELECT *, CASE WHEN pos IS NOT NULL THEN row_number() OVER (ORDER BY pos NULLS LAST, ord, nth) END AS rank FROM positions)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       (any_value(size) * any_value(copies))::BIGINT AS taken, any_value(copies) AS copies,
+       CAST(floor(1000000 * min(pos)) AS BIGINT) AS first_position_millionths, min(rank) AS first_rank, max(rank) AS last_rank
+FROM ranked GROUP BY doc_id, ord"""
 
 
 # -- op6 -------------------------------------------------------------------

@@ -187,6 +187,27 @@ def test_mixing(spark, sf, odd, empty):
     assert mixing.mix(empty).count() == 0
     order = mixing.training_order(mixing.mix(odd), odd.columns)
     assert order.columns == odd.columns
+    assert mixing.training_ranks(mixing.mix(empty), empty.columns).count() == 0
+
+
+def test_mixing_reruns_agree(spark):
+    """Null and repeated ids and an odd column name, under three partitionings."""
+    rows = [(i if i % 3 else (None if i % 2 else 7), f"w{i % 40} " * (1 + i % 4), "abc"[i % 3], i) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (None, None, None, 0)], "doc_id long, text string, source string, `a.b` int")
+    seen = []
+    for n in (1, 3, 11):
+        mixed = mixing.mix(docs.repartition(n), rows_per_bucket=30).cache()
+        got = mixing.training_ranks(mixed.withColumn("at", F.col("__mix_positions")), [*docs.columns, "at"]).collect()
+        assert len(got) == len(rows) + 1 and all(len(r.at) == len(r["__mix_ranks"]) for r in got)
+        copies = sorted((k, at) for r in got for k, at in zip(r["__mix_ranks"], r.at))
+        assert [k for k, _ in copies] == list(range(1, len(copies) + 1))
+        assert [at for _, at in copies] == sorted(at for _, at in copies)
+        seen.append(sorted((r["a.b"], str(r.doc_id), tuple(r["__mix_ranks"])) for r in got))
+        order = [r["a.b"] for r in mixing.training_order(mixed, docs.columns).collect()]
+        by_rank = sorted((k, r["a.b"]) for r in got for k in r["__mix_ranks"])
+        assert order == [x for _, x in by_rank]
+        mixed.unpersist()
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_schedule_inverse(spark):
