@@ -2,11 +2,12 @@
 
 Plan shape, for scale:
 
-* Nearest city per waypoint: points and candidates meet on grid cells. The
-  cells that hold points are refined in steps; each keeps only candidates
-  that can be the nearest of some point in it, so one strategy is exact at
-  every size and no point meets all candidates. Sampled points are exploded
-  and averaged by a partial aggregate.
+* Nearest city per waypoint: candidates are indexed by their own grid cell.
+  Pairs of (cell, candidates' cell) are refined from coarse to fine, and only
+  those whose candidates can be the nearest of some point are kept, so a
+  candidate never meets cells far away, and one strategy is exact at every
+  size. The finest cells are those that hold points. Sampled points are
+  exploded and averaged by a partial hash aggregate.
 * Per-request choices (fastest / clean / balanced, dedupe, similarity)
   use ``groupBy`` aggregates with ``min_by`` (partial aggregation, so a
   request with a huge candidate list is combined map-side) and equi-joins;
@@ -25,11 +26,12 @@ from ..functions import constants as K
 from ..functions import geo as G
 from ..functions.aqi import india_category
 from ..functions.calendar import hours_between
+from ..functions.stats import exact_avg
 from ..session import cut_lineage
 from . import risk as RISK
 
 #: Cell sizes in degrees, coarse to fine; each divides the one before.
-GRID_DEGREES = (16.0, 2.0, 0.25)
+COARSE, MIDDLE, FINE = 16.0, 2.0, 0.25
 #: Cell candidates (about 40 bytes each) that may be broadcast; beyond, the join shuffles.
 BROADCAST_CANDIDATES = 200_000
 DEDUPE_POOL_CAP = 5
@@ -47,16 +49,63 @@ def _cell(lat: Column, lon: Column, size: float) -> dict[str, Column]:
     return {"_y": F.when(ok, F.floor(lat / size)), "_x": F.when(ok, F.floor(lon / size))}
 
 
-def _nearer(pairs: DataFrame, size: float) -> DataFrame:
-    """Drops (cell, candidate) pairs whose candidate is too far from the
-    cell's centre to be the nearest of any point in it: a point lies within
-    ``reach`` of the centre, so its nearest candidate lies at most
-    2 * ``reach`` farther out than the candidate closest to the centre."""
-    reach = 0.75 * size * math.pi / 180 * K.EARTH_RADIUS_KM  # half the diagonal is below 0.72 sizes
-    d = pairs.withColumn("_d", G.haversine_km((F.col("_y") + 0.5) * size, (F.col("_x") + 0.5) * size,
-                                              F.col("_c.lat"), F.col("_c.lon")))
+def _reach(size: float) -> float:
+    """Bound in km on a point's distance from its cell's centre."""
+    return 0.75 * size * math.pi / 180 * K.EARTH_RADIUS_KM  # half the diagonal is below 0.72 sizes
+
+
+def _centre(y: str, x: str, size: float) -> tuple[Column, Column]:
+    return (F.col(y) + 0.5) * size, (F.col(x) + 0.5) * size
+
+
+def _nearest_only(pairs: DataFrame, size: float, lat: Column, lon: Column, inside: float = 0.0) -> DataFrame:
+    """Drops rows of a cell (_y, _x) whose place (lat, lon), known to within
+    ``inside`` km, is too far from the cell's centre to be the nearest of any
+    point in it: a point lies within ``_reach`` of the centre, so its nearest
+    place lies at most twice that farther out than the place closest to the
+    centre."""
+    d = pairs.withColumn("_d", G.haversine_km(*_centre("_y", "_x", size), lat, lon))
     least = d.groupBy("_y", "_x").agg(F.min("_d").alias("_least"))
-    return d.join(least, ["_y", "_x"]).filter(F.col("_d") <= F.col("_least") + 2 * reach).select("_y", "_x", "_c")
+    slack = 2 * (_reach(size) + inside)
+    return d.join(least, ["_y", "_x"]).filter(F.col("_d") <= F.col("_least") + slack).drop("_d", "_least")
+
+
+def _children(y: str, x: str, k: int, pairs: DataFrame) -> DataFrame:
+    """Every cell of ``pairs`` replaced by the k x k cells in it."""
+    steps = F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))
+    return (pairs.withColumn("_i", F.explode(steps)).withColumn(y, F.col(y) * k + F.col("_i"))
+            .withColumn("_i", F.explode(steps)).withColumn(x, F.col(x) * k + F.col("_i")).drop("_i"))
+
+
+def _globe_pairs(own: DataFrame) -> DataFrame:
+    """(_y, _x, _qy, _qx): for every middle cell of the globe, the middle
+    cells whose candidates can be the nearest there. ``own`` has the
+    candidates' cells (_qy, _qx). The rows are bounded by the grid, whatever
+    the number of candidates and points."""
+    k = int(COARSE / MIDDLE)
+    rows, cols = math.ceil(90 / COARSE), math.ceil(360 / COARSE)
+    up = own.select(F.floor(F.col("_qy") / k).alias("_qy"), F.floor(F.col("_qx") / k).alias("_qx")).distinct()
+    pairs = (up.withColumn("_y", F.explode(F.sequence(F.lit(-rows).cast("long"), F.lit(rows - 1).cast("long"))))
+             .withColumn("_x", F.explode(F.sequence(F.lit(-cols).cast("long"), F.lit(cols).cast("long")))))
+    pairs = _nearest_only(pairs, COARSE, *_centre("_qy", "_qx", COARSE), _reach(COARSE))
+    pairs = _children("_y", "_x", k, pairs).filter(
+        F.col("_y").between(*_Y_RANGE) & F.col("_x").between(*_X_RANGE))
+    pairs = _nearest_only(pairs, MIDDLE, *_centre("_qy", "_qx", COARSE), _reach(COARSE))
+    below = own.select(F.floor(F.col("_qy") / k).alias("_uy"), F.floor(F.col("_qx") / k).alias("_ux"), "_qy", "_qx")
+    pairs = (pairs.withColumnsRenamed({"_qy": "_uy", "_qx": "_ux"}).join(below, ["_uy", "_ux"])
+             .select("_y", "_x", "_qy", "_qx"))
+    return _nearest_only(pairs, MIDDLE, *_centre("_qy", "_qx", MIDDLE), _reach(MIDDLE))
+
+
+#: Middle cells of latitude +-90 and longitude +-360.
+_Y_RANGE = (math.floor(-90 / MIDDLE), math.floor(90 / MIDDLE))
+_X_RANGE = (math.floor(-360 / MIDDLE), math.floor(360 / MIDDLE))
+
+
+def _lists(pairs: DataFrame, c: DataFrame, size: float) -> DataFrame:
+    """(_y, _x, _cands) from pairs of cells and the candidates (_c, with their cell _qy, _qx)."""
+    met = _nearest_only(pairs.join(c, ["_qy", "_qx"]).select("_y", "_x", "_c"), size, F.col("_c.lat"), F.col("_c.lon"))
+    return met.groupBy("_y", "_x").agg(F.collect_list("_c").alias("_cands"))
 
 
 def cell_candidates(points: DataFrame, cands: DataFrame, id_col: str, lat: str, lon: str,
@@ -66,30 +115,31 @@ def cell_candidates(points: DataFrame, cands: DataFrame, id_col: str, lat: str,
     the smallest id counts; those without coordinates are left out."""
     la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
     val = F.col(value).cast("double") if value else F.lit(None).cast("double")
-    c = (cands.filter(_in_range(la, lo)).groupBy(la.alias("lat"), lo.alias("lon"))
-         .agg(F.min(F.struct(F.col(id_col).cast("long").alias("id"), val.alias("value"))).alias("m"))
-         .select(F.struct("m.id", "lat", "lon", "m.value").alias("_c")))
-    fine = GRID_DEGREES[-1]
-    held = cut_lineage(points.select(_cell(F.col(point_lat), F.col(point_lon), fine)["_y"].alias("_y"),
-                                     _cell(F.col(point_lat), F.col(point_lon), fine)["_x"].alias("_x"))
-                       .dropna().distinct())
-    top = GRID_DEGREES[0]
-    rows, cols = math.ceil(90 / top), math.ceil(360 / top)
-    pairs = (c.withColumn("_y", F.explode(F.sequence(F.lit(-rows).cast("long"), F.lit(rows).cast("long"))))
-             .withColumn("_x", F.explode(F.sequence(F.lit(-cols).cast("long"), F.lit(cols).cast("long")))))
-    for i, size in enumerate(GRID_DEGREES):
-        k = size / fine
-        cells = held.select(F.floor(F.col("_y") / k).alias("_y"), F.floor(F.col("_x") / k).alias("_x")).distinct()
-        if i == 0:
-            pairs = pairs.join(cells, ["_y", "_x"])
-        else:
-            up = GRID_DEGREES[i - 1] / size
-            cells = cells.select("_y", "_x", F.floor(F.col("_y") / up).alias("_py"),
-                                 F.floor(F.col("_x") / up).alias("_px"))
-            pairs = (pairs.select(F.col("_y").alias("_py"), F.col("_x").alias("_px"), "_c")
-                     .join(cells, ["_py", "_px"]).select("_y", "_x", "_c"))
-        pairs = _nearer(pairs, size)
-    return pairs.groupBy("_y", "_x").agg(F.collect_list("_c").alias("_cands"))
+    places = cut_lineage(
+        cands.filter(_in_range(la, lo)).groupBy(la.alias("lat"), lo.alias("lon"))
+        .agg(F.min(F.struct(F.col(id_col).cast("long").alias("id"), val.alias("value"))).alias("m"))
+        .select(F.struct("m.id", "lat", "lon", "m.value").alias("_c")))
+
+    def at(size: float) -> DataFrame:
+        cell = _cell(F.col("_c.lat"), F.col("_c.lon"), size)
+        return places.select("_c", cell["_y"].alias("_qy"), cell["_x"].alias("_qx"))
+
+    k = int(MIDDLE / FINE)
+
+    def under(y: str, x: str) -> list[Column]:
+        return [F.floor(F.col(y) / k).alias("_uy"), F.floor(F.col(x) / k).alias("_ux")]
+
+    held = points.select(*[c.alias(n) for n, c in _cell(F.col(point_lat), F.col(point_lon), FINE).items()]).dropna().distinct()
+    middle = _globe_pairs(at(MIDDLE).select("_qy", "_qx").distinct())
+    pairs = (middle.withColumnsRenamed({"_y": "_uy", "_x": "_ux"}).join(held.select("_y", "_x", *under("_y", "_x")), ["_uy", "_ux"])
+             .select("_y", "_x", "_qy", "_qx"))
+    pairs = cut_lineage(_nearest_only(pairs, FINE, *_centre("_qy", "_qx", MIDDLE), _reach(MIDDLE)))
+    c = at(FINE)
+    below = c.select("_qy", "_qx").distinct().select("_qy", "_qx", *under("_qy", "_qx"))
+    pairs = pairs.withColumnsRenamed({"_qy": "_uy", "_qx": "_ux"}).join(below, ["_uy", "_ux"]).select("_y", "_x", "_qy", "_qx")
+    pairs = _nearest_only(pairs, FINE, *_centre("_qy", "_qx", FINE), _reach(FINE))
+    met = _nearest_only(pairs.join(c, ["_qy", "_qx"]).select("_y", "_x", "_c"), FINE, F.col("_c.lat"), F.col("_c.lon"))
+    return met.groupBy("_y", "_x").agg(F.collect_list("_c").alias("_cands"))
 
 
 def with_nearest(points: DataFrame, cands: DataFrame, id_col: str = "city_id", lat: str = "latitude",
@@ -101,7 +151,7 @@ def with_nearest(points: DataFrame, cands: DataFrame, id_col: str = "city_id", l
     cells = cut_lineage(cell_candidates(points, cands, id_col, lat, lon, value, point_lat, point_lon))
     n = cells.agg(F.sum(F.size("_cands"))).first()[0] or 0
     side = F.broadcast(cells) if n <= BROADCAST_CANDIDATES else cells
-    p = points.withColumns(_cell(F.col(point_lat), F.col(point_lon), GRID_DEGREES[-1]))
+    p = points.withColumns(_cell(F.col(point_lat), F.col(point_lon), FINE))
     la, lo, only = F.col(point_lat), F.col(point_lon), F.col("_cands")[0]
     alone = F.struct(G.haversine_km(la, lo, only["lat"], only["lon"]).alias("dist"), only["id"].alias("id"),
                      only["value"].alias("value"))
@@ -180,18 +230,13 @@ def exposure_from_points(points: DataFrame, city_aqi: DataFrame, keys=("request_
     """GEO-7 on sampled point rows (keys, pos, lat, lon, other route
     columns): per route, the mean AQI of the nearest city over its points
     with coordinates; 0 without such points or without cities. The route's
-    other columns are carried with ``first`` (they depend on the key), so
-    no wide row is joined back. A route has less than twice
-    ``K.ROUTE_SAMPLE_TARGET`` sampled points; they are added in their order,
-    so the mean does not depend on the partitioning."""
-    keys = list(keys)
-    others = [c for c in points.columns if c not in (*keys, "pos", "lat", "lon")]
+    other columns (no maps) depend on the key and are grouped by with it, so
+    no wide row is joined back. AQI is summed as a decimal of six places,
+    so the sums do not depend on the partitioning, and stay plain
+    buffers of a hash aggregate, which adds most points before any shuffle."""
     near = with_nearest(points, city_aqi, "city_id", "latitude", "longitude", "aqi")
-    at = F.struct(F.col("pos"), F.col("_best.value").alias("v"))
-    agg = near.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others],
-                                  F.array_sort(F.collect_list(F.when(at["v"].isNotNull(), at))).alias("_at"))
-    total = F.aggregate("_at", F.lit(0.0), lambda acc, p: acc + p["v"])
-    agg = agg.withColumn("avg_aqi_raw", F.when(F.size("_at") > 0, total / F.size("_at"))).drop("_at")
+    others = [c for c in points.columns if c not in (*keys, "pos", "lat", "lon")]
+    agg = near.withColumn("_v", F.col("_best.value")).groupBy(*keys, *others).agg(exact_avg("_v", 6).alias("avg_aqi_raw"))
     return agg.withColumn("avg_aqi_raw", F.coalesce(F.col("avg_aqi_raw"), F.lit(0.0)))
 
 

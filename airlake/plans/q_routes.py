@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo as G
 from ..functions import risk as R
-from ..functions.stats import bround_sql, round_sql
+from ..functions.stats import bround_sql, exact_avg_sql, round_sql
 from ..operators import routes as RT
 from ..operators import serving as S
 from ..sources import fixtures as X
@@ -54,8 +54,7 @@ NEAR = ("near", f"""SELECT request_id, route_idx, pos, aqi FROM (
                              ORDER BY {G.haversine_km_sql('s.lat', 's.lon', 'c.latitude', 'c.longitude')},
                                       c.city_id) AS rn
    FROM samp s, cam c) x WHERE rn = 1""")
-EXPO = ("expo", """SELECT request_id, route_idx,
-   list_reduce(list(aqi ORDER BY pos), lambda a, b: a + b) / count(*) AS avg_aqi_raw FROM near GROUP BY 1, 2""")
+EXPO = ("expo", f"SELECT request_id, route_idx, {exact_avg_sql('aqi', 6)} AS avg_aqi_raw FROM near GROUP BY 1, 2")
 SCORED = ("scored", f"""SELECT r.*, e.avg_aqi_raw, {bround_sql('r.distance_m / 1000', 2)} AS distance_km,
    {bround_sql('r.duration_s / 60', 1)} AS time_min, {bround_sql('e.avg_aqi_raw', 1)} AS avg_aqi
 FROM route_ends r JOIN expo e USING (request_id, route_idx)""")
@@ -165,7 +164,7 @@ def geo_route_measures(spark, sf):
 
 @register("geo_classify_routes", ctes(*CLASSIFY, select="SELECT request_id, route_type, route_idx FROM cls"))
 def geo_classify_routes(spark, sf):
-    return RT.classify_routes(scored(spark, sf)).select("request_id", "route_type", "route_idx")
+    return RT.classify_routes(cut_lineage(scored(spark, sf))).select("request_id", "route_type", "route_idx")
 
 
 @register("geo_exposure_reduction", ctes(*CLASSIFY, select=f"SELECT {', '.join(CARD_COLS)} FROM cards"))
