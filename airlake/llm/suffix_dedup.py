@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
-from .induced_sort import suffixes_descending
+from .induced_sort import DEPTH, suffixes_descending
 from .sharding import spread
 
 LENGTH = 50
@@ -225,8 +225,11 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     (start, end), the maximal removed runs in bytes of its UTF-8 text.
 
     Null texts count as empty. Rows with a null key are not compared. A key
-    stands for one document: rows that repeat it must repeat its text.
+    stands for one document: rows that repeat it must repeat its text. Common
+    prefixes are exact to ``DEPTH`` bytes, so a longer ``length`` is refused.
     """
+    if not 0 < length <= DEPTH:
+        raise ValueError(f"length must be between 1 and {DEPTH}")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.encode(text_or_empty(text), "UTF-8").alias("text"))
     rows = rows.filter(F.octet_length("text") >= length)
     heads = saved(rows.select("key", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n")), "repeat-heads")

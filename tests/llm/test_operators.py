@@ -210,6 +210,11 @@ def test_mixing_reruns_agree(spark):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_repeats_longer_than_the_sorted_depth_are_refused(odd):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(odd, length=induced_sort.DEPTH + 1)
+
+
 def test_schedule_inverse(spark):
     knots = mixing.SCHEDULES[2]
     for share, t in [(0.0, 0.0), (0.375, 0.5), (1.0, 1.0)]:
