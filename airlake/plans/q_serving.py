@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import aqi as A
+from ..functions import constants as K
 from ..operators import enrich as E
 from ..operators import serving as S
 from ..sources import fixtures as X
@@ -124,11 +125,24 @@ _ADV_CASE = ("CASE WHEN india_aqi IS NULL OR india_aqi = 0 THEN NULL WHEN india_
              "WHEN india_aqi <= 400 THEN 4 ELSE 5 END")
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ADVICE = ", ".join(
+    f"({i}, {_text(rng)}, {_text(cat)}, {_text(who)}, {_text(sens)}, {_text(' | '.join(prec))})"
+    for i, (_, rng, cat, who, sens, prec) in enumerate(K.AQI_ADVISORY))
+
+
 @register("qry_advisory_for", f"""
-SELECT city, india_aqi, {_ADV_CASE} AS band FROM {LATEST_SQL} t""")
+SELECT t.city, t.india_aqi, t.band, a.range, a.category, a.who, a.sensitive, a.precautions
+FROM (SELECT city, india_aqi, {_ADV_CASE} AS band FROM {LATEST_SQL} t) t
+LEFT JOIN (VALUES {_ADVICE}) a(band, range, category, who, sensitive, precautions) ON t.band = a.band""")
 def qry_advisory_for(spark, sf):
+    """QRY-12: the whole advisory of each city; its precautions in one text."""
     adv = S.advisory_for(S.latest_per_city(facts(spark, sf)))
-    return adv.select("city", "india_aqi", "band")
+    return adv.select("city", "india_aqi", "band", "range", "category", "who", "sensitive",
+                      F.array_join("precautions", " | ").alias("precautions"))
 
 
 # -- enrichment --------------------------------------------------------------
