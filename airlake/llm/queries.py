@@ -27,7 +27,10 @@ def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    def of(i):  # a function each: Spark would take a second parameter of the lambda, default or not, for the element's index
+        return F.size(F.filter("base", lambda s: s["kind"] == i))
+
+    counts = [of(i).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.encode(written(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
                         written(F.array_sort(F.concat("base", "added"))).alias("spans"),
                         F.size("added").cast("long").alias("n_added"))
