@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import joined_side, merged_side, saved
 from .components import components
 
 WORDS_PER_SHINGLE = 5
@@ -147,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words_per
     """rep, shingles (bytes) of the documents whose key is in ``wanted`` (rep)."""
     picked = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     small = wanted.count() <= BROADCAST_KEYS
-    picked = picked.join(F.broadcast(wanted) if small else wanted, F.col("key") == F.col("rep"), "left_semi")
+    picked = picked.join(F.broadcast(wanted) if small else merged_side(wanted), F.col("key") == F.col("rep"), "left_semi")
 
     def sets(batches):
         from airlake.llm.near_dedup import shingle_set as shingles_of
@@ -173,13 +173,13 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text:
 
     sig = reps.select("rep", "sig", "n_shingles")
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    near = (pairs.join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
+    near = (joined_side(pairs).join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
             .filter(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
             .filter(apart("sig_a", "sig_b") <= distance).select("a", "b", "n_a", "n_b"))
     near = saved(near, "near-pairs")
     wanted = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
     full = full_sets(docs, wanted, key, text, words_per_shingle)
-    both = (near.join(full.toDF("b", "set_b"), "b").join(full.toDF("a", "set_a"), "a")
+    both = (joined_side(near).join(full.toDF("b", "set_b"), "b").join(full.toDF("a", "set_a"), "a")
             .withColumn("i", common("set_a", "set_b")))
     return both.filter(100 * F.col("i") >= percent * (n_a + n_b - F.col("i"))).select("a", "b").distinct()
 
@@ -201,7 +201,7 @@ def prefix_members(docs: DataFrame, wanted: DataFrame, key: str, text: str, word
     of_doc = W.partitionBy("rep")
     n = F.col("n")
     place = F.row_number().over(of_doc.orderBy("df", "bucket")) + n - F.count(F.lit(1)).over(of_doc)
-    return (x.join(common, "bucket").withColumn("place", place)
+    return (x.join(merged_side(common), "bucket").withColumn("place", place)
             .filter(F.col("place") <= n - F.ceil(n * percent / 100) + 1)
             .select("bucket", "rep", "n", "place", (F.col("place") <= n - overlap_needed(n, n, percent) + 1).alias("leads")))
 
@@ -214,7 +214,7 @@ def overlap_needed(n, m, percent: int):
 def _with_component(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return members.withColumn("comp", F.col("rep"))
-    return (members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return (members.join(joined_side(roots.select(F.col("node").alias("rep"), "root")), "rep", "left")
             .withColumn("comp", F.coalesce("root", "rep")).drop("root"))
 
 
@@ -223,7 +223,7 @@ def _open(members: DataFrame, roots: DataFrame | None, name: str) -> DataFrame:
     m = _with_component(members, roots)
     leads = F.max("leads") if "leads" in members.columns else F.lit(True)
     two = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), leads.alias("lead")).filter("lo < hi and lead")
-    return saved(m.join(two.select("bucket"), "bucket").select(*members.columns), name)
+    return saved(m.join(merged_side(two.select("bucket")), "bucket").select(*members.columns), name)
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -246,7 +246,7 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def compare(pairs: DataFrame) -> None:
         nonlocal links, tested, roots
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(joined_side(tested), ["a", "b"], "left_anti")
         pairs = saved(pairs, "near-candidates")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = saved(confirm(pairs, reps, docs, key, text, words_per_shingle, percent, reach()), "near-links")
@@ -260,13 +260,13 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     entered = bucket_members(reps)
     shared = (entered.groupBy("bucket").agg(F.count(F.lit(1)).alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
               .filter("lo < hi"))
-    members = saved(entered.join(shared.select("bucket", "met"), "bucket"), "near-buckets")
+    members = saved(entered.join(merged_side(shared.select("bucket", "met")), "bucket"), "near-buckets")
     weight = members.groupBy("rep").agg(F.sum("met").alias("weight"))
     members = members.select("bucket", "rep")
-    first = (members.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("p"))
+    first = (members.join(merged_side(weight), "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("least"))).alias("p"))
              .select("bucket", (-F.col("p.least")).alias("pivot")).withColumn("pivot_comp", F.col("pivot")))
     if not members.isEmpty():
-        compare(stars(_with_component(members, None), first))
+        compare(stars(_with_component(members, None), merged_side(first)))
         members = _open(members, roots, "near-buckets")
         members = saved(prefix_members(docs, members.select("rep").distinct(), key, text, words_per_shingle, percent),
                         "near-prefixes")
@@ -280,14 +280,14 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                            .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp"),
                                    F.col("p.n").alias("pivot_n"), F.col("p.place").alias("pivot_place")), "near-pivots")
             room = F.least(F.col("n") - F.col("place"), F.col("pivot_n") - F.col("pivot_place")) + 1
-            compare(stars(m, pivots, room >= overlap_needed(F.col("n"), F.col("pivot_n"), percent)))
-            left = members.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
+            compare(stars(m, joined_side(pivots), room >= overlap_needed(F.col("n"), F.col("pivot_n"), percent)))
+            left = members.join(joined_side(pivots.select("bucket", F.col("pivot").alias("rep"))), ["bucket", "rep"], "left_anti")
             members = _open(left.select(*members.columns), roots, "near-prefixes")
             salts *= 64
 
     out = f.join(classes.select("digest", "rep"), "digest", "left")
     if roots is not None:
-        out = out.join(roots, F.col("rep") == F.col("node"), "left")
+        out = out.join(joined_side(roots), F.col("rep") == F.col("node"), "left")
     root = F.coalesce("root", "rep", "key") if roots is not None else F.coalesce("rep", "key")
     component = F.when(F.col("key").isNotNull(), root)
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
