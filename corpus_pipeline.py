@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlake.llm import decontamination, language, mixing, near_dedup, sharding
-from airlake.llm.common import bounded_batches, documents, named, saved
+from airlake.llm.common import bounded_batches, documents, joined_side, merged_side, named, saved
 from airlake.llm.queries import SHARDS, held_out
 from airlake.sources.tables import load
 
@@ -50,8 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not ids.filter("n > 1 or doc_id is null").isEmpty():
         return _one_row_each(docs)
     dropped = saved(near_dedup.near_components(docs).filter(~F.col("kept")).select("doc_id").distinct(), "near-dropped")
-    few = dropped.count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*map(named, docs.columns))
+    return docs.join(joined_side(dropped, most=BROADCAST_KEYS), "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def _one_row_each(docs: DataFrame) -> DataFrame:
@@ -62,13 +61,14 @@ def _one_row_each(docs: DataFrame) -> DataFrame:
           .groupBy("__nd", F.col("component_id").alias("__of")).agg(F.count(F.lit(1)).alias("n")))
     of = saved(of, "near-texts")
     several = of.groupBy("__of").agg(F.sum("n").alias("n")).filter("n > 1").select("__of")
-    several = saved(of.join(several, "__of").select("__nd", "__of"), "near-several")
+    several = saved(of.join(merged_side(several), "__of").select("__nd", "__of"), "near-several")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), "__nd", F.xxhash64(*map(named, docs.columns)))
-    met = rows.join(several, "__nd").withColumn("__place", place)
+    side = joined_side(several, most=BROADCAST_KEYS)
+    met = rows.join(side, "__nd").withColumn("__place", place)
     first = met.groupBy(F.col("__of").alias("__one")).agg(F.min("__place").alias("__first"))
-    kept = (met.join(first, (F.col("__of") == F.col("__one")) & F.col("__place").eqNullSafe(F.col("__first")))
+    kept = (met.join(merged_side(first), (F.col("__of") == F.col("__one")) & F.col("__place").eqNullSafe(F.col("__first")))
             .dropDuplicates(["__of"]))
-    return rows.join(several, "__nd", "left_anti").select(*map(named, docs.columns)).unionByName(kept.select(*map(named, docs.columns)))
+    return rows.join(side, "__nd", "left_anti").select(*map(named, docs.columns)).unionByName(kept.select(*map(named, docs.columns)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
