@@ -58,6 +58,42 @@ def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _owners(part: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all grams, and for each start of a string of ``length`` bytes the place of its anchor."""
+    h = gram_hashes(part, gram)
+    least = (h & np.uint64((1 << 64) - CHUNK)) | np.arange(len(h), dtype=np.uint64)
+    have, want = 1, length - gram + 1
+    while have < want:
+        s = min(have, want - have)
+        least = np.minimum(least[:len(least) - s], least[s:])
+        have += s
+    return h, (least & np.uint64(CHUNK - 1)).astype(np.int64)
+
+
+def pack_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """(place, hash, first, last) of the anchors of several texts: what
+    ``anchors`` gives for each, in a few steps for all of them. Where a chunk
+    ends within an anchor's strings, they are told in two parts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends, b = np.cumsum(sizes), np.frombuffer(b"".join(texts), np.uint8)
+    out = [tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))]
+    for base in range(0, max(0, len(b) - length + 1), CHUNK - length):
+        h, own = _owners(b[base:base + CHUNK], length, gram)
+        if len(b) >= base + CHUNK:
+            own = own[:CHUNK - length]  # the next chunk starts where these end
+        lo, hi = np.searchsorted(ends, (base, base + len(own) - 1), "right")
+        of = np.repeat(np.arange(lo, hi + 1), np.diff(np.minimum(ends[lo:hi + 1], base + len(own)), prepend=base))
+        beyond = np.arange(base + length, base + length + len(own)) > ends[of]  # such a string would end in another text
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1]) | (beyond[1:] != beyond[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(own)) - 1
+        first, last = first[here := ~beyond[first]], last[here]
+        begin = (ends - sizes)[of[first]]
+        out.append((of[first], h[own[first]], base + first - begin, base + last - begin))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(hash, first, last) of each anchor: it is owned by the strings that
     start at first..last. Long texts are read in chunks."""
@@ -66,14 +102,7 @@ def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         part = b[base:base + CHUNK]
         if len(part) < length:
             break
-        h = gram_hashes(part, gram)
-        least = (h & np.uint64((1 << 64) - CHUNK)) | np.arange(len(h), dtype=np.uint64)
-        have, want = 1, length - gram + 1
-        while have < want:
-            s = min(have, want - have)
-            least = np.minimum(least[:len(least) - s], least[s:])
-            have += s
-        own = (least & np.uint64(CHUNK - 1)).astype(np.int64)
+        h, own = _owners(part, length, gram)
         if len(b) > base + CHUNK:
             own = own[:CHUNK - length]  # the next chunk starts where these end
         cut = np.flatnonzero(own[1:] != own[:-1])
@@ -104,21 +133,21 @@ def _shared_anchors(texts: DataFrame, buckets: int, receivers: int, length: int)
     """(key, hashes): the anchors of each document that another document has too."""
     def pack(batches):
         for rows in _packs(batches, lambda r: len(r.text)):
-            hashes, keys = [], []
-            for r in rows:
-                h = np.unique(anchors(np.frombuffer(r.text, np.uint8), length)[0])
-                hashes.append(h)
-                keys.append(np.full(len(h), r.key, np.int64))
-            h, k = np.concatenate(hashes), np.concatenate(keys)
+            of, h, _, _ = pack_anchors([r.text for r in rows], length)
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(bucket, kind="stable")
-            h, k, bucket = h[o], k[o], bucket[o]
+            o = np.lexsort((h, of, bucket))
+            h, of, bucket = h[o], of[o], bucket[o]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            h, of, bucket = h[once], of[once], bucket[once]
+            k = np.array([r.key for r in rows], np.int64)[of]
             cut = np.flatnonzero(np.diff(bucket)) + 1
+            out = []
             for hs, ks, bs in zip(np.split(h, cut), np.split(k, cut), np.split(bucket, cut)):
                 if len(bs):
                     start = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
-                    yield pd.DataFrame({"bucket": [int(bs[0])], "keys": [ks[start].tobytes()], "hashes": [hs.tobytes()],
-                                        "counts": [np.diff(np.append(start, len(ks))).astype(np.int32).tobytes()]})
+                    out.append((int(bs[0]), ks[start].tobytes(), hs.tobytes(), np.diff(np.append(start, len(ks))).astype(np.int32).tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "keys", "hashes", "counts"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
@@ -155,19 +184,18 @@ def _pieces(texts: DataFrame, shards: int, length: int) -> DataFrame:
     def pack(batches):
         for rows in _packs(batches, lambda r: len(r.text)):
             by_shard: dict[int, dict[bytes, list]] = {}
-            for r in rows:
-                h, first, last = anchors(np.frombuffer(r.text, np.uint8), length)
-                shared = np.frombuffer(r.hashes, np.uint64)
-                on = np.isin(h, shared)
-                for s, f, z in zip((h[on] // np.uint64(7) % np.uint64(shards)).tolist(), first[on].tolist(), last[on].tolist()):
-                    by_shard.setdefault(s, {}).setdefault(r.text[f:z + length], []).append((r.key, f))
+            of, h, first, last = pack_anchors([r.text for r in rows], length)
+            on = np.isin(h, np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows]))  # shared by one is shared by all that have it
+            texts_, keys_ = [r.text for r in rows], [r.key for r in rows]
+            for d, s, f, z in zip(of[on].tolist(), (h[on] // np.uint64(7) % np.uint64(shards)).tolist(), first[on].tolist(), last[on].tolist()):
+                by_shard.setdefault(s, {}).setdefault(texts_[d][f:z + length], []).append((keys_[d], f))
+            out = []
             for s, pieces in by_shard.items():
                 uses = [u for p in pieces.values() for u in p]
-                yield pd.DataFrame({
-                    "shard": [s], "text": [b"".join(pieces)], "lengths": [np.fromiter(map(len, pieces), np.int32).tobytes()],
-                    "uses": [np.fromiter(map(len, pieces.values()), np.int32).tobytes()],
-                    "keys": [np.array([u[0] for u in uses], np.int64).tobytes()],
-                    "starts": [np.array([u[1] for u in uses], np.int64).tobytes()]})
+                out.append((s, b"".join(pieces), np.fromiter(map(len, pieces), np.int32).tobytes(),
+                            np.fromiter(map(len, pieces.values()), np.int32).tobytes(),
+                            np.array([u[0] for u in uses], np.int64).tobytes(), np.array([u[1] for u in uses], np.int64).tobytes()))
+            yield pd.DataFrame(out, columns=["shard", "text", "lengths", "uses", "keys", "starts"])
 
     return texts.mapInPandas(pack, "shard long, text binary, lengths binary, uses binary, keys binary, starts binary")
 
